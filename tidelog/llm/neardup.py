@@ -5,10 +5,9 @@
    probability of 4e-7.
 3. In each bucket every member is paired with the least one: as many pairs as members. Pairs whose
    signatures agree enough are confirmed on the full sets, and confirmed links joined into components.
-4. Buckets whose members lie in several components may still hide links. Their members are compared in blocks,
-   signature against signature, and each gives its best partners of other components to be confirmed;
-   4 times as many in the next round, until none had to hold any back. So no candidate pair
-   between components goes untested, and none within a component is made.
+4. Buckets whose members lie in several components may still hide links. Their members are compared in blocks, each
+   with the hashes of its full set; what links two components there is confirmed on the texts as well. A block
+   gives no more links than it has members, yet no candidate pair between components goes untested.
 
 Cases: a null text or one without words has an empty set, is linked with nothing and is its own class; a null
 id never stands for a group that has another; repeated rows are one class; rows that share an id but not the text
@@ -142,30 +141,79 @@ def _links(pairs: DataFrame, sigs: DataFrame, rows: DataFrame, k: int, percent:
     return both.mapInPandas(_confirm(k, percent), "u long, v long")
 
 
-def _compare(best: int, percent: int):
-    """Of the members of a block pair: each one's best partners in other components, and if it held some back."""
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row")
-        i, j = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        u, v, held = [], [], False
-        xs = np.frombuffer(b"".join(right["sig"]), np.uint32).reshape(len(right), HASHES) if len(right) else None
-        rr, rc, rn = (right[c].to_numpy() for c in ("_row", "comp", "n"))
-        for row, comp, n, sig in zip(left["_row"], left["comp"], left["n"], left["sig"], strict=True):
-            ok = np.flatnonzero((rc != comp) & (100 * np.minimum(rn, n) >= percent * np.maximum(rn, n)) & ((rr > row) if i == j else True))
-            if not len(ok):
-                continue
-            est = (xs[ok] == np.frombuffer(sig, np.uint32)).mean(axis=1)
-            ok, est = ok[est >= AGREE], est[est >= AGREE]
-            if len(ok) > best:
-                held = True
-                ok = ok[np.argsort(-est, kind="stable")[:best]]
-            u += [row] * len(ok)
-            v += rr[ok].tolist()
-        if held:
-            u.append(-1)
-            v.append(-1)
-        return pd.DataFrame({"u": u, "v": v}, dtype="int64")
+def _hashes(k: int):
+    def hashes(batches):
+        known = _WordHashes()
+        for pdf in batches:
+            yield pd.DataFrame({"_row": pdf["_row"], "h": [shingle_hashes(words(t), k, known).tobytes() for t in pdf["text"]]})
+
+    return hashes
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set of hashes.
+
+    Only what stands in two sets can count, so the rest is dropped and the others make 0/1 matrices, taken in strips.
+    """
+    sets = left + right
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    keep = count[at] > 1
+    owner, at = owner[keep], (np.cumsum(count > 1) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        i, j = np.searchsorted(at, [low, low + 4096])
+        x = np.zeros((len(sets), 4096), np.float32)
+        x[owner[i:j], at[i:j] - low] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out
+
+
+def _joining(group: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between components among the members (own, row, comp, hashes) of a block pair: a spanning forest of them."""
+    own = min(g[0] for g in group)
+    left = [g for g in group if g[0] == own]
+    right = [g for g in group if g[0] != own]
+    same = not right
+    right = right or left
+    comps = sorted({g[2] for g in group})
+    label = {c: i for i, c in enumerate(comps)}
+    lc, rc = np.array([label[g[2]] for g in left]), np.array([label[g[2]] for g in right])
+    ln, rn = np.array([len(g[3]) for g in left]), np.array([len(g[3]) for g in right])
+    both = overlaps([g[3] for g in left], [g[3] for g in right])
+    link = 100 * both >= percent * (ln[:, None] + rn[None, :] - both) - 0.01
+    out = []
+    for i in range(len(left)):
+        while True:
+            j = np.flatnonzero(link[i] & (rc != lc[i]))
+            if not len(j):
+                break
+            out.append((left[i][1], right[j[0]][1]))
+            old, new = rc[j[0]], lc[i]
+            rc[rc == old] = new
+            if not same:
+                lc[lc == old] = new
+            else:
+                lc = rc
+    return out
+
+
+def _compare(percent: int):
+    """Goes through members in the order of their block pairs and gives the links between components."""
+    def compare(batches):
+        key, group = None, []
+        for pdf in batches:
+            out = []
+            for b, i, j, own, row, comp, h in zip(*(pdf[c] for c in ("bucket", "bi", "bj", "own", "_row", "comp", "h")), strict=True):
+                if (b, i, j) != key:
+                    out += _joining(group, percent) if len(group) > 1 else []
+                    key, group = (b, i, j), []
+                group.append((own, row, comp, np.frombuffer(h, np.uint64)))
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        if len(group) > 1:
+            yield pd.DataFrame(_joining(group, percent), columns=["u", "v"], dtype="int64")
 
     return compare
 
@@ -190,27 +238,20 @@ def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_
     tested = scratch.save(members.filter("_row > lead").select(F.col("lead").alias("u"), F.col("_row").alias("v")).distinct())
     links = components(_links(tested, sigs, rows, k, percent, scratch), scratch)
 
-    best = 1
-    while True:
-        comp = F.coalesce(F.col("v"), F.col("_row"))
-        placed = members.select("_row", "bucket").join(links, F.col("_row") == F.col("u"), "left").select("_row", "bucket", comp.alias("comp"))
-        placed = scratch.save(placed)
-        several = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).filter("a < b").select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-        open_ = placed.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("_row"), "nb").cast("int"))
-        spread = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).join(sigs.select("_row", "n", "sig"), "_row")
-        spread = spread.select("bucket", F.least("own", "o").alias("bi"), F.greatest("own", "o").alias("bj"), "own", "_row", "comp", "n", "sig")
-        found = scratch.save(spread.groupBy("bucket", "bi", "bj").applyInPandas(_compare(best, percent), "u long, v long").distinct())
-        pairs = found.filter("u >= 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-        pairs = scratch.save(pairs)
-        held = not found.filter("u < 0").isEmpty()
-        if not pairs.isEmpty():
-            more = scratch.save(_links(pairs, sigs, rows, k, percent, scratch, signatures=False))
-            if not more.isEmpty():
-                links = components(links.unionByName(more), scratch)
-            tested = scratch.save(tested.unionByName(pairs))
-        if not held:
-            break
-        best *= 4
+    placed = members.select("_row", "bucket").join(links, F.col("_row") == F.col("u"), "left").select("_row", "bucket", F.coalesce("v", "_row").alias("comp"))
+    placed = scratch.save(placed)
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y")).filter("a < b")
+    several = several.groupBy("c", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    open_ = scratch.save(placed.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("_row"), "nb").cast("int")))
+    wanted = open_.select("_row").distinct()
+    hashed = scratch.save(rows.select("_row", "text").join(wanted, "_row", "left_semi").mapInPandas(_hashes(k), "_row long, h binary"))
+    spread = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).join(hashed, "_row")
+    spread = spread.select("bucket", F.least("own", "o").alias("bi"), F.greatest("own", "o").alias("bj"), "own", "_row", "comp", "h")
+    spread = spread.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "_row")
+    pairs = scratch.save(spread.mapInPandas(_compare(percent), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    more = scratch.save(_links(pairs, sigs, rows, k, percent, scratch, signatures=False))
+    if not more.isEmpty():
+        links = components(links.unionByName(more), scratch)
 
     comps = classes.join(links, F.col("_class") == F.col("u"), "left").select("same", "_class", "_least", F.coalesce("v", "_class").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("_least").alias("_to"))
