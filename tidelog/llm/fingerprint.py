@@ -1,10 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame expressions.
 
-A text's paragraphs are its non-empty lines; each distinct one is a 64-bit digest. A sketch has 24 cells in
+A text's paragraphs are its non-empty lines; each distinct one is a 63-bit digest. A sketch has cells in
 three parts; a digest enters one cell of each part by count, XOR of digests and XOR of checks. Two sketches
 are subtracted cell by cell and peeled: a cell that holds one digest gives it away, which frees others.
-When peeling gets stuck, the sketches are made four times as large and tried again: at level L a digest
-falls into one of 4^L sketches of 24 cells by further hash bits. Level 0 is the stored fingerprint.
+The sketch of all digests, in 24 cells, is the stored fingerprint. To find out how two texts differ, digests are dealt into as
+many small sketches as the likely difference needs; where peeling gets stuck, that sketch is made four times as large
+(four of them, by further hash bits) and tried again.
 
 Cases: a null text is an empty one and has no paragraphs (likeness 1 to another such text); equal texts have
 equal fingerprints; a null id sorts first; rows that share an id are each followed by the next greater
@@ -18,88 +19,101 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import Scratch, let, ordered_blocks, text_of
 
-PARTS, WIDTH = 3, 8
-CELLS = PARTS * WIDTH
+PARTS = 3
+#: Cells in each part of a stored fingerprint, and of a sketch that is sized for LOAD differing digests.
+STORED, SMALL, LOAD = 8, 4, 4
 ROUNDS = 16
+#: How often a sketch that does not peel is made four times as large.
+RETRIES = 12
 
-KEY = "struct<key:bigint,sign:int,check:bigint,at:array<int>>"
+KEY = "struct<key:bigint,sign:int,check:bigint,mask:int,spread:bigint>"
 
 
 def paragraphs(text: Column) -> Column:
-    """Digests of the distinct non-empty lines."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    """Digests of the distinct non-empty lines: 63 bits, the last is left for a sign."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-2))))
 
 
-def _key(key: Column, sign: Column) -> Column:
-    places = lambda h: F.array(*(F.pmod(F.shiftright(h, 8 * j), F.lit(WIDTH)).cast("int") + j * WIDTH for j in range(PARTS)))
-    return let(F.xxhash64(F.lit(17), key), lambda h: F.struct(key.alias("key"), sign.cast("int").alias("sign"), F.xxhash64(F.lit(29), key).alias("check"), places(h).alias("at")))
+def _key(key: Column, sign: Column, width: int) -> Column:
+    """A digest with its check, the bits of its three cells, and what deals it into blocks. width: a power of 2."""
+    place = lambda h, j: F.get(F.array(*(F.lit(1 << (i + j * width)) for i in range(width))), F.shiftright(h, 8 * j).bitwiseAND(F.lit(width - 1)).cast("int"))
+    fields = lambda h: F.struct(
+        key.alias("key"), sign.cast("int").alias("sign"), F.xxhash64(F.lit(29), key).alias("check"), place(h, 0).bitwiseOR(place(h, 1)).bitwiseOR(place(h, 2)).alias("mask"), F.shiftright(h, 24).alias("spread"))
+    return let(F.xxhash64(F.lit(17), key), fields)
 
 
-def _keys(digests: Column, sign: int) -> Column:
-    return F.transform(digests, lambda d: _key(d, F.lit(sign)))
+def _keys(digests: Column, sign: int, width: int) -> Column:
+    return F.transform(digests, lambda d: _key(d, F.lit(sign), width))
 
 
-def _put(cell: Column, keys: Column, i: Column, times: int) -> Column:
-    """``cell`` with the keys that fall into cell ``i`` added (or, times = -1, taken out)."""
-    return F.aggregate(F.filter(keys, lambda k: F.array_contains(k["at"], i)), cell, lambda a, k: F.struct(
-        (a["n"] + k["sign"] * times).alias("n"), a["key"].bitwiseXOR(k["key"]).alias("key"), a["check"].bitwiseXOR(k["check"]).alias("check")))
+def _put(cell: Column, keys: Column, times: int) -> Column:
+    """``cell`` with the keys that fall into it added (or, times = -1, taken out)."""
+    return F.aggregate(keys, cell, lambda a, k: F.when(k["mask"].bitwiseAND(a["bit"]) == 0, a).otherwise(F.struct(
+        a["bit"].alias("bit"), (a["n"] + k["sign"] * times).alias("n"), a["key"].bitwiseXOR(k["key"]).alias("key"), a["check"].bitwiseXOR(k["check"]).alias("check"))))
 
 
-def sketch(keys: Column) -> Column:
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: _put(empty, keys, i, 1))
+def sketch(keys: Column, width: int) -> Column:
+    """Cells of the keys; keys of sign -1 are those of a subtracted sketch, as both are sums."""
+    empty = lambda bit: F.struct(bit.alias("bit"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
+    return F.transform(F.array(*(F.lit(1 << i) for i in range(PARTS * width))), lambda bit: _put(empty(bit), keys, 1))
 
 
 def fingerprint_text(digests: Column) -> Column:
-    """The level 0 sketch as text: cell:count:key:check in hexadecimal, of the cells that hold something."""
-    cells = F.transform(sketch(_keys(digests, 1)), lambda c, i: F.when((c["n"] != 0), F.concat_ws(":", i, c["n"], F.hex(c["key"]), F.hex(c["check"]))))
+    """The stored sketch as text: cell:count:key:check in hexadecimal, of the cells that hold something."""
+    cells = F.transform(let(_keys(digests, 1, STORED), lambda keys: sketch(keys, STORED)), lambda c, i: F.when((c["n"] != 0), F.concat_ws(":", i, c["n"], F.hex(c["key"]), F.hex(c["check"]))))
     return F.array_join(cells, ",")  # skips the empty ones
 
 
-def _subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
-
-
 def _pure(cells: Column) -> Column:
-    one = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (c["check"] == F.xxhash64(F.lit(29), c["key"])))
-    return F.array_distinct(F.transform(one, lambda c: _key(c["key"], c["n"])))
+    one = F.filter(cells, lambda c: F.when(F.abs(c["n"]) == 1, c["check"] == F.xxhash64(F.lit(29), c["key"])).otherwise(False))
+    signed = F.array_distinct(F.transform(one, lambda c: F.when(c["n"] < 0, c["key"] + 1).otherwise(c["key"])))
+    return F.transform(signed, lambda k: _key(k.bitwiseAND(F.lit(-2)), 1 - 2 * k.bitwiseAND(F.lit(1)), SMALL))
 
 
 def _peel(cells: Column) -> Column:
-    """struct(cells, got): what is left in the cells, and the keys that came out."""
-    none = F.array().cast(f"array<{KEY}>")
-
+    """struct(cells, got): what is left in the cells, and the digests that came out."""
     def one_round(state, _):
-        fresh = lambda pure: F.struct(
-            F.transform(state["cells"], lambda c, i: _put(c, pure, i, -1)).alias("cells"), F.concat(state["got"], pure).alias("got"), (F.size(pure) > 0).alias("more"))
-        return F.when(state["more"], let(_pure(state["cells"]), fresh)).otherwise(state)
+        def take(pure):
+            mask = F.aggregate(pure, F.lit(0), lambda a, k: a.bitwiseOR(k["mask"]))
+            rest = let(mask, lambda m: F.transform(state["cells"], lambda c: F.when(m.bitwiseAND(c["bit"]) == 0, c).otherwise(_put(c, pure, -1))))
+            return F.when(F.size(pure) == 0, F.struct(state["cells"].alias("cells"), state["got"].alias("got"), F.lit(False).alias("more"))).otherwise(
+                F.struct(rest.alias("cells"), F.concat(state["got"], F.transform(pure, lambda k: k["key"])).alias("got"), F.lit(True).alias("more")))
+
+        return F.when(state["more"], let(_pure(state["cells"]), take)).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), none.alias("got"), F.lit(True).alias("more")), one_round)
+    first = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("got"), F.lit(True).alias("more"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, one_round)
 
 
-def _try(a: Column, b: Column, level: Column) -> Column:
-    """array<bigint> of the digests that differ at ``level``, or null when a sketch does not peel."""
-    blocks = F.pow(F.lit(4), level).cast("long")
-    mine = lambda digests, block: F.filter(digests, lambda d: F.pmod(F.xxhash64(F.lit(43), d), blocks) == block)
+def _decode(keys: Column) -> Column:
+    """Digests that one sketch pair's difference gives, or null when it does not peel."""
+    full = lambda p: F.exists(p["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+    return F.when(F.size(keys) == 0, F.array().cast("array<bigint>")).otherwise(let(_peel(sketch(keys, SMALL)), lambda p: F.when(~full(p), p["got"])))
 
-    def block(state, i):
-        cells = _subtract(sketch(_keys(mine(a, i), 1)), sketch(_keys(mine(b, i), 1)))
-        add = lambda p: F.when(F.exists(p["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0)), F.lit(None).cast("array<bigint>")).otherwise(F.concat(state, F.transform(p["got"], lambda k: k["key"])))
-        return F.when(state.isNull(), state).otherwise(let(_peel(cells), add))
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), blocks - 1), F.array().cast("array<bigint>"), block)
+def _dealt(keys: Column, blocks: Column, spread, then) -> Column:
+    """The results of ``then`` for the keys of each of ``blocks`` blocks, joined; null if one is null."""
+    part = lambda blocks, i: F.filter(keys, lambda k: F.pmod(spread(k), blocks) == i)
+    all_parts = lambda blocks: F.aggregate(F.sequence(F.lit(0).cast("long"), blocks - 1), F.array().cast("array<bigint>"), lambda got, i: F.when(got.isNull(), got).otherwise(F.concat(got, then(part(blocks, i)))))
+    return F.when(blocks == 1, then(keys)).otherwise(let(blocks, all_parts))
+
+
+def _retried(keys: Column) -> Column:
+    """A block's digests, its sketch made four times as large (by further hash bits) until it peels."""
+    larger = lambda t: _dealt(keys, F.pow(F.lit(4), t).cast("long"), lambda k: F.xxhash64(t, k["key"]), lambda p: let(p, _decode))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), F.lit(None).cast("array<bigint>"), lambda done, t: F.when(done.isNotNull(), done).otherwise(larger(t)))
 
 
 def difference(a: Column, b: Column) -> Column:
     """Digests in just one of two arrays of distinct digests, recovered by peeling.
 
-    Starts at the level that so many digests as the sizes differ by need at least, and goes on to larger
-    sketches until all peel; null only if the largest tried (64 times what all digests would need) fails.
+    The first size is for what the two are likely to differ by: all, when their least digests differ, else a part.
+    A block that does not peel is retried larger; null only if it fails at 4^RETRIES times its size.
     """
-    level = lambda n: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / 12.0) / 2)).cast("int")
-    low, high = level(F.abs(F.size(a) - F.size(b))), level(F.size(a) + F.size(b)) + 3
-    none = F.lit(None).cast("array<bigint>")
-    return F.aggregate(F.sequence(low, high), none, lambda done, at: F.when(done.isNotNull(), done).otherwise(_try(a, b, at.cast("int"))))
+    n = F.size(a) + F.size(b)
+    likely = F.when(F.array_min(a).eqNullSafe(F.array_min(b)), F.greatest(F.abs(F.size(a) - F.size(b)), n / 4)).otherwise(n)
+    blocks = F.greatest(F.lit(1), F.ceil(likely / LOAD)).cast("long")
+    return let(F.concat(_keys(a, 1, SMALL), _keys(b, -1, SMALL)), lambda keys: _dealt(keys, blocks, lambda k: k["spread"], lambda p: let(p, _retried)))
 
 
 def likeness(a: Column, b: Column) -> Column:
