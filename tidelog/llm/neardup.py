@@ -56,7 +56,7 @@ def shingles(text: str | None, k: int) -> set[tuple[bytes, ...]]:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -130,22 +130,46 @@ def _confirm(k: int, percent: int):
     return confirm
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scratch, signatures: bool = True) -> DataFrame:
-    """The pairs (u, v) that are links: by size and signature first, then on the full sets."""
-    if signatures:
-        side = lambda c: sigs.select(F.col("_row").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-        pairs = pairs.join(side("u"), "u").join(side("v"), "v").filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-        pairs = scratch.save(pairs.filter(F.pandas_udf(_alike, "boolean")("su", "sv")).select("u", "v"))
-    text = lambda c, t: rows.select(F.col("_row").alias(c), F.col("text").alias(t))
+def _agreeing(pairs: DataFrame, sigs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) whose sizes and signatures allow a link."""
+    side = lambda c: sigs.select(F.col("_row").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    pairs = pairs.join(side("u"), "u").join(side("v"), "v").filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    return scratch.save(pairs.filter(F.pandas_udf(_alike, "boolean")("su", "sv")).select("u", "v"))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) that are links on their full sets."""
+    text = lambda c, t: texts.select(F.col("_row").alias(c), F.col("text").alias(t))
     both = pairs.join(text("u", "ta"), "u").join(text("v", "tb"), "v").select("u", "v", "ta", "tb")
     return both.mapInPandas(_confirm(k, percent), "u long, v long")
 
 
-def _hashes(k: int):
+#: Bits of a sketch of row numbers, in bitmaps of 32768: 8 MB at most, whatever the input.
+SKETCH_BITS = 1 << 26
+
+
+def _row_sketch(rows: DataFrame) -> DataFrame:
+    """A bitmap of the hashes of _row: (part, bits)."""
+    at = rows.select(F.pmod(F.xxhash64("_row"), F.lit(SKETCH_BITS)).alias("at"))
+    return at.groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg((F.col("at") % 32768)).alias("bits"))
+
+
+def _sketched(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The rows whose _row is in the sketch, and a few others: what is not wanted need not be shuffled."""
+    at = F.pmod(F.xxhash64("_row"), F.lit(SKETCH_BITS))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    # broadcast: SKETCH_BITS bits at most
+    found = rows.withColumn("part", F.floor(at / 32768)).withColumn("_bit", (at % 32768).cast("int")).join(F.broadcast(sketch), "part")
+    return found.filter(F.get(F.array(*(F.lit(1 << i) for i in range(8))), F.col("_bit") % 8).bitwiseAND(byte) != 0).select(*rows.columns)
+
+
+def _hashes(k: int, wide: bool):
     def hashes(batches):
         known = _WordHashes()
         for pdf in batches:
-            yield pd.DataFrame({"_row": pdf["_row"], "h": [shingle_hashes(words(t), k, known).tobytes() for t in pdf["text"]]})
+            sets = [shingle_hashes(words(t), k, known) for t in pdf["text"]]
+            short = sets if wide else [np.unique((x >> np.uint64(32)).astype(np.uint32)) for x in sets]
+            yield pd.DataFrame({"_row": pdf["_row"], "n": [len(x) for x in sets], "h": [x.tobytes() for x in short]})
 
     return hashes
 
@@ -172,7 +196,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _joining(group: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links between components among the members (own, row, comp, hashes) of a block pair: a spanning forest of them."""
+    """Links between components among the members (own, row, comp, set size, hashes) of a block pair: a spanning forest.
+
+    Hashes that two shingles of a set share are made good: no link is lost by them.
+    """
     own = min(g[0] for g in group)
     left = [g for g in group if g[0] == own]
     right = [g for g in group if g[0] != own]
@@ -181,8 +208,9 @@ def _joining(group: list[tuple], percent: int) -> list[tuple[int, int]]:
     comps = sorted({g[2] for g in group})
     label = {c: i for i, c in enumerate(comps)}
     lc, rc = np.array([label[g[2]] for g in left]), np.array([label[g[2]] for g in right])
-    ln, rn = np.array([len(g[3]) for g in left]), np.array([len(g[3]) for g in right])
-    both = overlaps([g[3] for g in left], [g[3] for g in right])
+    ln, rn = np.array([g[3] for g in left]), np.array([g[3] for g in right])
+    lost_l, lost_r = ln - [len(g[4]) for g in left], rn - [len(g[4]) for g in right]
+    both = overlaps([g[4] for g in left], [g[4] for g in right]) + lost_l[:, None] + lost_r[None, :]
     link = 100 * both >= percent * (ln[:, None] + rn[None, :] - both) - 0.01
     out = []
     for i in range(len(left)):
@@ -200,17 +228,17 @@ def _joining(group: list[tuple], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(percent: int):
+def _compare(percent: int, wide: bool):
     """Goes through members in the order of their block pairs and gives the links between components."""
     def compare(batches):
         key, group = None, []
         for pdf in batches:
             out = []
-            for b, i, j, own, row, comp, h in zip(*(pdf[c] for c in ("bucket", "bi", "bj", "own", "_row", "comp", "h")), strict=True):
+            for b, i, j, own, row, comp, n, h in zip(*(pdf[c] for c in ("bucket", "bi", "bj", "own", "_row", "comp", "n", "h")), strict=True):
                 if (b, i, j) != key:
                     out += _joining(group, percent) if len(group) > 1 else []
                     key, group = (b, i, j), []
-                group.append((own, row, comp, np.frombuffer(h, np.uint64)))
+                group.append((own, row, comp, n, np.frombuffer(h, np.uint64 if wide else np.uint32)))
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
         if len(group) > 1:
             yield pd.DataFrame(_joining(group, percent), columns=["u", "v"], dtype="int64")
@@ -218,6 +246,24 @@ def _compare(percent: int):
     return compare
 
 
+def _open_buckets(members: DataFrame, links: DataFrame, texts: DataFrame, k: int, percent: int, wide: bool, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between components, from the buckets whose members lie in several."""
+    placed = scratch.save(members.join(links, F.col("_row") == F.col("u"), "left").select("_row", "bucket", F.coalesce("v", "_row").alias("comp")))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y")).filter("a < b")
+    # one of the buckets with the same members is enough
+    several = several.groupBy("c", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    open_ = scratch.save(placed.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("_row"), "nb").cast("int")))
+    scratch.drop(placed)
+    hashed = scratch.save(_sketched(texts, _row_sketch(open_.select("_row"))).mapInPandas(_hashes(k, wide), "_row long, n long, h binary"))
+    spread = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).join(hashed, "_row")
+    spread = spread.select("bucket", F.least("own", "o").alias("bi"), F.greatest("own", "o").alias("bj"), "own", "_row", "comp", "n", "h")
+    spread = spread.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "_row")
+    pairs = scratch.save(spread.mapInPandas(_compare(percent, wide), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    scratch.drop(open_)
+    scratch.drop(hashed)
+    return pairs
+
+
 def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of ``df``.
 
@@ -230,28 +276,23 @@ def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_
     rows = rows if row_col else scratch.save(rows)
     signed = scratch.save(rows.select("_row", "_node", "text").mapInPandas(_signed(k), "_row long, _node long, n long, same binary, sig binary, bands array<long>"))
     classes = scratch.save(signed.filter("n > 0").groupBy("same").agg(F.min("_row").alias("_class"), F.min("_node").alias("_least")))
-    sigs = scratch.save(signed.join(classes.select("_class"), F.col("_row") == F.col("_class"), "left_semi").select("_row", "n", "sig", "bands"))
-
-    members = sigs.select("_row", F.explode("bands").alias("bucket"))
+    members = signed.select("_row", "bands").join(classes.select("_class"), F.col("_row") == F.col("_class"), "left_semi").select("_row", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("_row").alias("lead"), F.count("*").alias("c")).filter("c > 1").select("bucket", "lead")
     members = scratch.save(members.join(shared, "bucket"))
-    tested = scratch.save(members.filter("_row > lead").select(F.col("lead").alias("u"), F.col("_row").alias("v")).distinct())
-    links = components(_links(tested, sigs, rows, k, percent, scratch), scratch)
-
-    placed = members.select("_row", "bucket").join(links, F.col("_row") == F.col("u"), "left").select("_row", "bucket", F.coalesce("v", "_row").alias("comp"))
-    placed = scratch.save(placed)
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y")).filter("a < b")
-    several = several.groupBy("c", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-    open_ = scratch.save(placed.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("_row"), "nb").cast("int")))
-    wanted = open_.select("_row").distinct()
-    hashed = scratch.save(rows.select("_row", "text").join(wanted, "_row", "left_semi").mapInPandas(_hashes(k), "_row long, h binary"))
-    spread = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).join(hashed, "_row")
-    spread = spread.select("bucket", F.least("own", "o").alias("bi"), F.greatest("own", "o").alias("bj"), "own", "_row", "comp", "h")
-    spread = spread.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "_row")
-    pairs = scratch.save(spread.mapInPandas(_compare(percent), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    more = scratch.save(_links(pairs, sigs, rows, k, percent, scratch, signatures=False))
-    if not more.isEmpty():
-        links = components(links.unionByName(more), scratch)
+    sketch = scratch.save(_row_sketch(members.select("_row")))
+    texts = scratch.save(_sketched(rows.select("_row", "text"), sketch))
+    sigs = scratch.save(_sketched(signed.select("_row", "n", "sig"), sketch))
+    pairs = members.filter("_row > lead").select(F.col("lead").alias("u"), F.col("_row").alias("v")).distinct()
+    links = components(_links(_agreeing(pairs, sigs, percent, scratch), texts, k, percent), scratch)
+    scratch.drop(sigs)
+
+    for wide in (False, True):  # the second time only if a link of the short hashes was none
+        pairs = _open_buckets(members.select("_row", "bucket"), links, texts, k, percent, wide, scratch)
+        more = scratch.save(_links(pairs, texts, k, percent))
+        n_more = more.count()
+        links = components(links.unionByName(more), scratch) if n_more else links
+        if n_more == pairs.count():
+            break
 
     comps = classes.join(links, F.col("_class") == F.col("u"), "left").select("same", "_class", "_least", F.coalesce("v", "_class").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("_least").alias("_to"))
