@@ -35,11 +35,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes of an Arrow batch, where the session has the default of 64 MB: a Python worker holds a few times as much.
+BATCH_BYTES = 8 << 20
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold at once, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written once and read again, so that lineage is cut and lost executors cost nothing."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        lean_batches(spark)
         self.root = f"{scratch_dir(spark).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame) -> DataFrame:

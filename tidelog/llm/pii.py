@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import lean_batches
+
 # The base patterns, in the order of the kinds.
 KINDS = ("email", "ip", "card", "phone", "number")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -307,6 +309,7 @@ BATCH_CHARS = 1_500_000
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, base and added: arrays of (start, kind, end) for each row; code points, end exclusive."""
+    lean_batches(df.sparkSession)
     model = train()  # a few hundred kilobytes
 
     def scan(batches):
