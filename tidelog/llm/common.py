@@ -52,6 +52,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         lean_batches(spark)
+        self.saved: list[DataFrame] = []
         self.root = f"{scratch_dir(spark).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -59,15 +60,22 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.saved.append(out)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that nothing reads any more."""
+        self.saved = [d for d in self.saved if d is not df]
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def keep_only(self, *kept: DataFrame) -> None:
+        for df in [d for d in self.saved if not any(d is k for k in kept)]:
+            self.drop(df)
+
+
 def text_of(column: str | Column) -> Column:
     """The text, a null one as an empty one."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -302,8 +302,11 @@ def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_
     out = out.select("_row", shown("_node").alias(id_col), F.col("n").alias("n_shingles"), shown("_to").alias("component_id"), (F.col("_node") == F.col("_to")).alias("kept"), "_to")
     if row_col:
         first = out.filter("kept").groupBy("_to").agg(F.min("_row").alias("_first"))
-        return out.join(first, "_to").drop("_to")
-    return out.drop("_row", "_to")
+        out = scratch.save(out.join(first, "_to").drop("_to"))
+    else:
+        out = scratch.save(out.drop("_row", "_to"))
+    scratch.keep_only(out)
+    return out
 
 
 def deduplicate(df: DataFrame, **kwargs) -> DataFrame:
