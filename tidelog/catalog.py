@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidelog.plans import log_queries, other_queries
+
 
 def queries() -> dict:
-    return {}
+    return log_queries.QUERIES | other_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return log_queries.SQL | other_queries.SQL
