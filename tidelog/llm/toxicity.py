@@ -30,6 +30,8 @@ from tidelog.llm.common import Scratch
 LABELLED, FEATURES = 20_000, 20_000
 #: Documents that a feature must stand in, and its least log-odds.
 LEAST_DOCS, LEAST_WEIGHT = 4, 1.5
+#: Least G statistic of a feature against chance: among millions of rare words some stand in toxic texts only.
+LEAST_G = 28.0
 OPENING = 5
 FOLDS, HELD_OUT = 5, 0
 
@@ -292,7 +294,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     t, c = model.totals
     weight = F.log((F.col("toxic") + 0.25) / (t + 0.5)) - F.log((F.col("other") + 0.25) / (c + 0.5))
     found = learn.select("text", "y").mapInPandas(count, "f string, toxic long, other long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    found = found.filter((F.col("toxic") >= LEAST_DOCS) & (weight >= LEAST_WEIGHT)).orderBy(F.desc(weight * F.sqrt("toxic")), "f").limit(FEATURES)
+    part = lambda n, share: F.when(n > 0, n * F.log(n / ((F.col("toxic") + F.col("other")) * share))).otherwise(0.0)
+    g = 2 * (part(F.col("toxic"), t / (t + c)) + part(F.col("other"), c / (t + c)))
+    found = found.filter((F.col("toxic") >= LEAST_DOCS) & (weight >= LEAST_WEIGHT) & (g >= LEAST_G)).orderBy(F.desc(weight * F.sqrt("toxic")), "f").limit(FEATURES)
     model.counts = {r["f"]: (r["toxic"], r["other"]) for r in found.toLocalIterator()}
 
     def show(batches):
