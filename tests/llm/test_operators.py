@@ -208,6 +208,12 @@ def test_pii(spark):
     assert pii.find(documents(spark, [])).count() == 0
 
 
+def test_added_spans_are_cut_by_base_ones():
+    text = "12 a@b.c 34, 5 zz 6"
+    assert pii.clear_of([(0, 3, 19)], [(3, 0, 8)], text) == [(0, 3, 2), (9, 3, 19)]
+    assert pii.clear_of([(3, 0, 8), (9, 3, 11)], [(3, 0, 8)], text) == [(9, 3, 11)] and pii.clear_of([(0, 3, 8)], [(2, 0, 8)], "zz a@b.c") == []
+
+
 def test_field_decodes_the_best_path():
     e, a = pii.train()
     rng = np.random.default_rng(0)

@@ -299,6 +299,21 @@ def added_spans(texts: list[str], model) -> list[list[Span]]:
     return out
 
 
+def clear_of(added: list[Span], base: list[Span], text: str) -> list[Span]:
+    """What of the added spans no base span covers: the words between, if they hold a digit or an @."""
+    out = []
+    for start, kind, end in added:
+        at = start
+        for s, _, e in [*(b for b in base if b[0] < end and b[2] > start), (end, 0, end)]:
+            piece = text[at:s]
+            lo = at + len(piece) - len(piece.lstrip(f"{_TRIM} \t\r"))
+            hi = at + len(piece.rstrip(f"{_TRIM} \t\r"))
+            if lo < hi and s > at and (DIGIT.search(piece) or "@" in piece):
+                out.append((lo, kind, hi))
+            at = max(at, e)
+    return out
+
+
 def _shown(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -323,7 +338,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                     to += 1
                 base = [base_spans(t) for t in texts[at:to]]
                 more = added_spans(texts[at:to], model)
-                more = [[x for x in m if not any(b[0] < x[2] and b[2] > x[0] for b in own)] if m else m for m, own in zip(more, base, strict=True)]
+                more = [clear_of(m, own, t) if m and own else m for m, own, t in zip(more, base, texts[at:to], strict=True)]
                 as_rows = lambda spans: [[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in own] for own in spans]
                 yield pd.DataFrame({
                     "_id": pdf["_id"].iloc[at:to].array, "base": as_rows(base), "added": as_rows(more),
