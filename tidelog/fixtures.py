@@ -39,4 +39,4 @@ LOG_SQL = f"""e AS (SELECT event_id AS seq, CAST(event_id AS VARCHAR) AS id, epo
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as edits of one text a conversation: (conv_id, turn, op, arg, text)."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 20).alias("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -11,10 +11,16 @@ from tidelog.operators import crdt, persistence, scan, sync
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: Two replicas that share events and hold all of them together.
+REPLICAS = ("event_type <> 'purchase'", "event_type <> 'view'")
 COLS = ["seq", "id", "hlc", "originator", "group_id", "session_id", "op", "key", "value"]
 SHOWN = ", ".join(COLS)
 
 
+def replicas(log: DataFrame) -> list[DataFrame]:
+    return [log.filter(r) for r in REPLICAS]
+
+
 def on_log(name: str, sql: str | None, view: str = ""):
     """Registers a query that takes the log; the SQL sees it as e."""
     def register(fn):
@@ -70,7 +76,7 @@ def lww_map_merge(log: DataFrame) -> DataFrame:
     """Two replicas' last writes, merged."""
     sets = log.filter("op = 'map_set'")
     state = lambda rows: rows.groupBy("group_id", "key").agg(F.max_by(F.struct("value", "hlc", "originator", "id"), F.struct("hlc", "originator", "id")).alias("s")).select("group_id", "key", "s.*")
-    return crdt.lww_merge([state(sets.filter("seq % 2 = 0")), state(sets.filter("seq % 3 <> 0")), state(sets.filter("seq % 2 = 1 AND seq % 3 = 0"))], ["group_id", "key"])
+    return crdt.lww_merge(map(state, replicas(sets)), ["group_id", "key"])
 
 
 @on_log("flagship_group_state", """SELECT g.*, live, total - live AS tombstones FROM (SELECT group_id, count(*) AS events, arg_max(id, seq) AS last_id, max(hlc) AS last_hlc, count(DISTINCT originator) AS originators
@@ -88,12 +94,12 @@ COUNTS = "SELECT group_id, originator, CAST(sum(delta) AS BIGINT) AS count FROM
 up = lambda log: log.filter("delta > 0")
 on_log("gcounter_counts", COUNTS.format(""))(lambda log: crdt.gcounter(up(log)))
 on_log("gcounter_value", "SELECT group_id, CAST(sum(delta) AS BIGINT) AS value FROM e WHERE delta > 0 GROUP BY ALL")(lambda log: crdt.gcounter_value(crdt.gcounter(up(log))))
-on_log("gcounter_merge", f"SELECT group_id, originator, max(count) AS count FROM ({COUNTS.format(' AND seq < 4000')} UNION ALL {COUNTS.format(' AND seq < 7000')}) GROUP BY ALL")(
-    lambda log: crdt.gcounter_merge(crdt.gcounter(up(log).filter("seq < 4000")), crdt.gcounter(up(log).filter("seq < 7000"))))
+on_log("gcounter_merge", f"SELECT group_id, originator, max(count) AS count FROM ({COUNTS.format(" AND event_type <> 'purchase'")} UNION ALL {COUNTS.format(" AND event_type <> 'view'")}) GROUP BY ALL")(
+    lambda log: crdt.gcounter_merge(*(crdt.gcounter(up(r)) for r in replicas(log))))
 on_log("pncounter_value", "SELECT group_id, CAST(sum(delta) AS BIGINT) AS value FROM e GROUP BY ALL")(lambda log: crdt.pncounter_value(crdt.pncounter(log)))
 PN = "SELECT group_id, originator, CAST(sum(CASE WHEN delta >= 0 THEN delta ELSE 0 END) AS BIGINT) AS positive, CAST(sum(CASE WHEN delta < 0 THEN -delta ELSE 0 END) AS BIGINT) AS negative FROM e WHERE {} GROUP BY ALL"
-on_log("pncounter_merge", f"SELECT group_id, originator, max(positive) AS positive, max(negative) AS negative FROM ({PN.format('seq < 5000')} UNION ALL {PN.format('seq % 2 = 0')}) GROUP BY ALL")(
-    lambda log: crdt.pncounter_merge(crdt.pncounter(log.filter("seq < 5000")), crdt.pncounter(log.filter("seq % 2 = 0"))))
+on_log("pncounter_merge", f"SELECT group_id, originator, max(positive) AS positive, max(negative) AS negative FROM ({PN.format("event_type <> 'purchase'")} UNION ALL {PN.format("event_type <> 'view'")}) GROUP BY ALL")(
+    lambda log: crdt.pncounter_merge(*map(crdt.pncounter, replicas(log))))
 on_log("counter_rollup", "SELECT group_id, originator, CAST(sum(delta) AS BIGINT) AS value FROM e GROUP BY ROLLUP (group_id, originator)")(lambda log: log.rollup("group_id", "originator").agg(F.sum("delta").alias("value")))
 
 # --- replication ----------------------------------------------------------------------------------------------------
@@ -122,8 +128,8 @@ on_log("known_peers", "SELECT originator AS peer_id, arg_max(event_type, seq) AS
 
 # --- recovery -------------------------------------------------------------------------------------------------------
 
-gap = lambda log: log.filter("seq % 10 <> 3")
-on_log("recover_missing", "SELECT id, seq FROM e WHERE seq % 10 = 3")(lambda log: persistence.missing(log, gap(log)).select("id", "seq"))
+gap = lambda log: log.filter("event_type <> 'signup'")
+on_log("recover_missing", "SELECT id, seq FROM e WHERE event_type = 'signup'")(lambda log: persistence.missing(log, gap(log)).select("id", "seq"))
 on_log("recover_log", "SELECT count(*) AS n, CAST(sum(seq) AS BIGINT) AS total FROM e")(lambda log: persistence.recover(log, gap(log)).agg(F.count("*").alias("n"), F.sum("seq").alias("total")))
 on_log("dedupe_ids", "SELECT id, min(seq) AS seq FROM (SELECT CAST(seq % 700 AS VARCHAR) AS id, seq FROM e) GROUP BY ALL")(lambda log: scan.dedupe(log.withColumn("id", (F.col("seq") % 700).cast("string"))).select("id", "seq"))
 on_log("manifest", "SELECT 1 AS version, count(*) AS event_count, arg_max(id, seq) AS last_event_id, max(hlc) AS last_hlc, arg_max(id, hlc) AS max_hlc_event_id FROM e")(persistence.manifest)
@@ -137,7 +143,7 @@ on_log("wal_segment_stats", "SELECT segment, count(*) AS n, CAST(sum(length(id))
     lambda log: log.groupBy(F.floor(F.col("seq") / 1000).alias("segment")).agg(F.count("*").alias("n"), F.sum(F.length("id")).alias("bytes")))
 
 
-@on_log("wal_crc_check", None)
+@on_log("wal_crc_check", "SELECT seq % 100 <> 0 AS crc_ok, count(*) AS n FROM e GROUP BY ALL")
 def wal_crc_check(log: DataFrame) -> DataFrame:
     """Entries whose stored checksum is that of their payload; every hundredth was damaged."""
     rows = log.select("seq", F.concat_ws("|", "id", "hlc").cast("binary").alias("payload"))
@@ -153,14 +159,14 @@ def _inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn's first 20 characters put in at turn * 7 modulo the length so far."""
+    """Every turn's text put in at turn * 7 modulo the length so far."""
     each = _inserts(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("o"))
     step = lambda s, o: crdt.insert(s, o["turn"] * 7 % (F.length(s) + 1), o["text"])
     return each.select("conv_id", F.aggregate("o", F.lit(""), step).alias("text"))
 
 
 def _fold_sql(step: str) -> str:
-    return f"""WITH RECURSIVE o AS (SELECT conv_id, turn, left(text, 20) AS piece, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+    return f"""WITH RECURSIVE o AS (SELECT conv_id, turn, text AS piece, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
  f AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS s FROM (SELECT DISTINCT conv_id FROM o) UNION ALL SELECT f.conv_id, o.i, {step} FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)
  SELECT conv_id, arg_max(s, i) AS text FROM f GROUP BY conv_id"""
 
@@ -179,18 +185,18 @@ _EDIT_SQL = _fold_sql(f"CASE WHEN turn % 3 = 2 THEN left(s, turn) || substring(s
 QUERIES["text_insert_delete"], SQL["text_insert_delete"] = lambda spark, d: crdt.text_fold(_edits(spark, d), "conv_id"), _EDIT_SQL
 QUERIES["text_insert_delete_long"], SQL["text_insert_delete_long"] = lambda spark, d: crdt.fold_in_pandas(_edits(spark, d), "conv_id"), _EDIT_SQL
 QUERIES["text_len"], SQL["text_len"] = lambda spark, d: text_fold(spark, d).select("conv_id", F.length("text").cast("long").alias("n")), f"SELECT conv_id, length(text) AS n FROM ({SQL['text_fold']})"
-QUERIES["log_union_refold"] = lambda spark, d: crdt.text_fold(_edits(spark, d).filter("seq % 2 = 0").unionByName(_edits(spark, d).filter("seq % 3 <> 0")).unionByName(_edits(spark, d).filter("seq % 2 = 1 AND seq % 3 = 0")).dropDuplicates(["conv_id", "seq"]), "conv_id")
+QUERIES["log_union_refold"] = lambda spark, d: crdt.text_fold(_edits(spark, d).filter("op = 'text_insert'").unionByName(_edits(spark, d)).dropDuplicates(["conv_id", "seq"]), "conv_id")
 SQL["log_union_refold"] = _EDIT_SQL
 
-_RGA_SQL = """WITH c AS (SELECT doc_id, left(text, 40) AS s FROM documents WHERE text IS NOT NULL), a AS (SELECT doc_id, i AS ts, 'a' AS node, substring(s, i, 1) AS ch, false AS removed FROM c, range(1, 41) r(i) WHERE i <= length(s)),
- b AS (SELECT doc_id, ts, node, ch, ts % 5 = 0 AS removed FROM a WHERE ts <= 30 UNION ALL SELECT doc_id, ts, 'b', translate(ch, 'aeiou', 'AEIOU'), false FROM a WHERE ts % 7 = 0), m AS (SELECT doc_id, ts, node, max(ch) AS ch, bool_or(removed) AS removed FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)"""
+_RGA_SQL = """WITH a AS (SELECT doc_id, i AS ts, 'a' AS node, ch, false AS removed FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text <> '')),
+ b AS (SELECT doc_id, ts, node, ch, ts % 5 = 0 AS removed FROM a UNION ALL SELECT doc_id, ts, 'b', translate(ch, 'aeiou', 'AEIOU'), false FROM a WHERE ts % 7 = 0), m AS (SELECT doc_id, ts, node, max(ch) AS ch, bool_or(removed) AS removed FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)"""
 
 
 def _rga(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two replicas' nodes merged: a has a text's first characters, b deletes some of them and adds its own."""
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 40), ""))).filter("col <> ''")
+    """Two replicas' nodes merged: a has a text's characters, b deletes some of them and adds its own."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", ""))).filter("col <> ''")
     a = docs.select("doc_id", (F.col("pos") + 1).cast("long").alias("ts"), F.lit("a").alias("node"), F.col("col").alias("ch"), F.lit(False).alias("removed"))
-    b = a.filter("ts <= 30").withColumn("removed", F.col("ts") % 5 == 0).unionByName(a.filter("ts % 7 = 0").withColumn("node", F.lit("b")).withColumn("ch", F.translate("ch", "aeiou", "AEIOU")))
+    b = a.withColumn("removed", F.col("ts") % 5 == 0).unionByName(a.filter("ts % 7 = 0").withColumn("node", F.lit("b")).withColumn("ch", F.translate("ch", "aeiou", "AEIOU")))
     return crdt.rga_merge(a, b)
 
 

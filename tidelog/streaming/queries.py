@@ -57,6 +57,6 @@ def text(spark: SparkSession, sf_dir: str) -> DataFrame:
         state.update((now,))
         yield pd.DataFrame({"conv_id": [key[0]], "text": [now]})
 
-    stream = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 20).alias("text"))
+    stream = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     out = stream.groupBy("conv_id").applyInPandasWithState(edit, "conv_id long, text string", "text string", "update", "NoTimeout")
     return materialise(out, "update")
