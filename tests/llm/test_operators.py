@@ -295,7 +295,7 @@ def test_neighbours(spark):
 def test_fingerprints(spark):
     t = texts(60)
     got = {r.doc_id: r for r in fingerprint.fingerprints(documents(spark, t)).collect()}
-    parts = lambda s: {p for p in s.split("\n") if p}
+    parts = lambda s: set(re.findall(fingerprint.PARAGRAPH, s))
     near = lambda a, b: 1.0 if not parts(a) | parts(b) else len(parts(a) & parts(b)) / len(parts(a) | parts(b))
     for i, x in enumerate(t):
         x, following = x or "", t[(i + 1) % len(t)] or ""
@@ -306,6 +306,9 @@ def test_fingerprints(spark):
     assert got[6].fingerprint == got[7].fingerprint != got[8].fingerprint and got[0].fingerprint == got[1].fingerprint == ""
     assert fingerprint.fingerprints(documents(spark, [])).count() == 0
     odd = fingerprint.fingerprints(documents(spark, ["a\nb", "c", "c", "d\ne"], ids=[None, 3, 3, 9])).collect()
+    line = " ".join(f"Sentence {i} is of some twenty letters." for i in range(40))
+    lone = {r.doc_id: r for r in fingerprint.fingerprints(documents(spark, [line, "x" * 2000, "y " * 900])).collect()}
+    assert lone[0].near_edited > 0.2 and lone[1].near_edited > 0.2 and all(x.near_next == 0 for x in lone.values())
     assert len(odd) == 4 and fingerprint.fingerprints(documents(spark, ["a b"])).first()["edited_sha256"] == hashlib.sha256(b"a a").hexdigest()
 
 

@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame expressions.
 
-A text's paragraphs are its non-empty lines; each distinct one is a 63-bit digest. A sketch has cells in
-three parts; a digest enters one cell of each part by count, XOR of digests and XOR of checks. Two sketches
+A text's paragraphs are its non-empty lines, where a long line counts as several: it is cut at the first end of a
+sentence after PIECE characters, or after LONGEST. Each distinct one is a 63-bit digest. A sketch has cells in three parts; a digest enters one cell of each part by count, XOR of digests and XOR of checks. Two sketches
 are subtracted cell by cell and peeled: a cell that holds one digest gives it away, which frees others.
 The sketch of all digests, in 24 cells, is the stored fingerprint. To find out how two texts differ, digests are dealt into as
 many small sketches as the likely difference needs; where peeling gets stuck, that sketch is made four times as large
@@ -26,12 +26,16 @@ ROUNDS = 16
 #: How often a sketch that does not peel is made four times as large.
 RETRIES = 12
 
+#: Least characters of a line's piece that ends with a sentence, and the most of any piece.
+PIECE, LONGEST = 80, 400
+PARAGRAPH = rf"[^\n]{{{PIECE},{LONGEST}}}?[.!?]+(?![^\x20\n])|[^\n]{{1,{LONGEST}}}"
+
 KEY = "struct<key:bigint,sign:int,check:bigint,mask:int,spread:bigint>"
 
 
 def paragraphs(text: Column) -> Column:
-    """Digests of the distinct non-empty lines: 63 bits, the last is left for a sign."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-2))))
+    """Digests of the distinct paragraphs: 63 bits, the last is left for a sign."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-2))))
 
 
 def _key(key: Column, sign: Column, width: int) -> Column:
