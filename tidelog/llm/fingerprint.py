@@ -22,6 +22,8 @@ from tidelog.llm.common import Scratch, let, ordered_blocks, text_of
 PARTS = 3
 #: Cells in each part of a stored fingerprint, and of a sketch that is sized for LOAD differing digests.
 STORED, SMALL, LOAD = 8, 4, 4
+#: More blocks than this are dealt in two steps.
+MANY = 64
 ROUNDS = 16
 #: How often a sketch that does not peel is made four times as large.
 RETRIES = 12
@@ -116,8 +118,12 @@ def difference(a: Column, b: Column) -> Column:
     """
     n = F.size(a) + F.size(b)
     likely = F.when(F.array_min(a).eqNullSafe(F.array_min(b)), F.greatest(F.abs(F.size(a) - F.size(b)), n / 4)).otherwise(n)
+    # many blocks are dealt in two steps, so that no key is looked at for every block
     blocks = F.greatest(F.lit(1), F.ceil(likely / LOAD)).cast("long")
-    return let(F.concat(_keys(a, 1, SMALL), _keys(b, -1, SMALL)), lambda keys: _dealt(keys, blocks, lambda k: k["spread"], lambda p: let(p, _retried)))
+    sizes = let(blocks, lambda n: F.struct(n.alias("n"), F.when(n > MANY, F.floor(F.sqrt(n))).otherwise(1).cast("long").alias("outer")))
+    low, high = lambda k: k["spread"], lambda k: F.shiftright(k["spread"], 20)
+    inner = lambda part, z: _dealt(part, F.ceil(z["n"] / z["outer"]).cast("long"), high, lambda q: let(q, _retried))
+    return let(F.concat(_keys(a, 1, SMALL), _keys(b, -1, SMALL)), lambda keys: let(sizes, lambda z: _dealt(keys, z["outer"], low, lambda part: let(part, lambda p: inner(p, z)))))
 
 
 def likeness(a: Column, b: Column) -> Column:
