@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.client import Client, EventLog
 from tidelog.functions import security
-from tidelog.operators import agents, bloom, crdt, persistence, scan
+from tidelog.operators import agents, bloom, crdt, persistence, scan, sessions
 from tidelog.schema import LogError, label
 from tidelog.sources import codec, formats
 
@@ -105,6 +105,12 @@ def test_formats(spark, tmp_path):
             list(codec.frames(io.BytesIO(bad)))
     header, events = codec.read_snapshot(io.BytesIO(codec.snapshot({"id": "s"}, [EVENT])))
     assert header == {"id": "s"} and events[0] == EVENT
+    import gzip
+
+    (tmp_path / "snaps").mkdir()
+    (tmp_path / "snaps" / "a.snap").write_bytes(codec.snapshot({"id": "s"}, [EVENT, EVENT]))
+    (tmp_path / "snaps" / "b.snap").write_bytes(gzip.compress(codec.snapshot({"id": "t"}, [EVENT])))
+    assert sorted((r.snapshot_id, r.id) for r in spark.read.format("tide_snapshot").load(str(tmp_path / "snaps")).collect()) == [("s", "test-id"), ("s", "test-id"), ("t", "test-id")]
     assert list(codec.messages(io.BytesIO(codec.message(1, "test", b"data") + codec.message(8, "", b"")))) == [(1, "test", b"data"), (8, "", b"")]
 
 
@@ -144,7 +150,7 @@ def test_snapshots_over_batches(spark):
     assert [r.event_to for r in persistence.boundaries(b, 10).orderBy("batch").collect()] == [14, 21]
 
 
-def test_security(spark):
+def test_security(spark, tmp_path):
     seed = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
     assert security.public_key(seed).hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
     assert security.sign(seed, b"").hex().startswith("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e06522490155")
@@ -154,10 +160,26 @@ def test_security(spark):
     assert security.x25519(k, u).hex() == "c3da55379de9c6908e94ea4df28d084f32eccf03491c71f754b4075577a28552"
     cap = {"resource": "session/x", "permissions": ["read", "write"], "issuer": "n1", "subject": "n2", "expires": 99}
     assert security.decode_token(security.encode_token(cap, b"sig")) == (cap, b"sig")
+    token, public = security.issue_capability(cap, seed), security.public_key(seed)
+    assert security.verify_capability(token, public, 99) and not security.verify_capability(token, public, 100) and not security.verify_capability(token, security.public_key(bytes(32)), 1)
+    security.save_identity(str(tmp_path / "keys" / "own.key"), seed)
+    assert security.load_identity(str(tmp_path / "keys" / "own.key")) == seed and (tmp_path / "keys" / "own.key").stat().st_mode & 0o777 == 0o600
     df = spark.createDataFrame([(bytearray(bytes(range(n))),) for n in range(5)], "b binary").select("b", security.base64url(F.col("b")).alias("t"))
     assert all(r.x == r.b for r in df.select("b", security.unbase64url(F.col("t")).alias("x")).collect())
 
 
+def test_sessions(spark):
+    old = spark.createDataFrame([("a", bytearray(32), 0), ("b", bytearray(b"k" * 32), 50)], "peer_id string, key binary, created long")
+    new = spark.createDataFrame([("a", bytearray(b"n" * 32), 90)], "peer_id string, key binary, created long")
+    now = sessions.establish(old, new)
+    assert sorted((r.peer_id, r.created) for r in now.collect()) == [("a", 90), ("b", 50)]
+    rows = spark.createDataFrame([("a", bytearray(b"hello")), ("b", None), ("c", bytearray(b"x"))], "peer_id string, body binary")
+    sealed = sessions.encrypt_for(rows, now, "body")
+    assert sorted((r.peer_id, r.body) for r in sessions.decrypt_from(sealed, now, "body").collect()) == [("a", b"hello"), ("b", None)]
+    assert all(r.body is None for r in sessions.decrypt_from(sealed, old, "body").collect())
+    assert [r.peer_id for r in sessions.missing(rows, now).collect()] == ["c"]
+
+
 def test_labels():
     assert label("any.v1.TextInsert") == "text_insert" and label("any.v1.MapDelete") == "map_delete" and label("other") == "unknown"
 

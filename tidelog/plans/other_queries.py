@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.fixtures import LOG_SQL, event_log, table
 from tidelog.functions import security
-from tidelog.operators import agents, bloom, metrics
+from tidelog.operators import agents, bloom, metrics, sessions
 from tidelog.plans import log_queries
 from tidelog.plans.log_queries import MAP_STATE
 from tidelog.streaming import queries as streams
@@ -115,6 +115,27 @@ def aes_roundtrip(log: DataFrame) -> DataFrame:
     return log.select("id", F.aes_decrypt(F.aes_encrypt("session_id", key, F.lit("GCM")), key, F.lit("GCM")).cast("string").alias("plain"))
 
 
+def _sessions(log: DataFrame) -> DataFrame:
+    """A session with every originator that has signed up."""
+    peers = log.filter("event_type = 'signup'").groupBy(F.col("originator").alias("peer_id")).agg(F.min(F.expr("hlc div 1000000000")).alias("created"))
+    return peers.select("peer_id", F.unhex(F.sha2("peer_id", 256)).alias("key"), "created")
+
+
+SESSIONS = "s AS (SELECT originator AS peer_id, min(hlc) // 1000000000 AS created, unhex(sha256(originator)) AS key FROM e WHERE event_type = 'signup' GROUP BY ALL)"
+
+
+@over_log("session_roundtrip", "SELECT e.id, e.session_id AS plain FROM e JOIN s ON s.peer_id = e.originator", SESSIONS)
+def session_roundtrip(log: DataFrame) -> DataFrame:
+    """Every event's session encrypted for its originator and decrypted again."""
+    keys = _sessions(log)
+    sealed = sessions.encrypt_for(log.select("id", F.col("originator").alias("peer_id"), F.col("session_id").alias("plain")), keys, "plain")
+    return sessions.decrypt_from(sealed, keys, "plain").select("id", F.col("plain").cast("string").alias("plain"))
+
+
+over_log("session_missing", "SELECT DISTINCT originator AS peer_id FROM e WHERE originator NOT IN (SELECT peer_id FROM s WHERE created < 1704240000)", SESSIONS)(lambda log: sessions.missing(log.select(F.col("originator").alias("peer_id")), _sessions(log).filter("created < 1704240000")))
+over_log("session_rotation", "SELECT peer_id, lower(hex(CASE WHEN 1706745600 - created > 2592000 THEN unhex(sha256(key)) ELSE key END)) AS key, CASE WHEN 1706745600 - created > 2592000 THEN 1706745600 ELSE created END AS created FROM s", SESSIONS)(
+    lambda log: sessions.rotate((s := _sessions(log)), sessions.overdue(s, 2_592_000, 1_706_745_600), 1_706_745_600).withColumn("key", F.lower(F.hex("key"))))
+
 
 @over_log("ed25519_verify", "SELECT count(*) AS n, count(*) FILTER (WHERE seq % 2 = 0) AS valid FROM e")
 def ed25519_verify(log: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Python data sources for the byte formats: spark.read.format("tide_log" | "tide_wal" | "tide_frames").load(folder).
+"""Python data sources for the byte formats: spark.read.format("tide_log" | "tide_wal" | "tide_snapshot" | "tide_frames").load(folder).
 
 Each file of the folder is a partition, read on an executor. The folder must be one that all executors see.
 """
 
 from __future__ import annotations
 
+import gzip
 import os
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,17 @@ class _WalReader(_Reader):
             yield os.path.basename(name), at, ok, body
 
 
+class _SnapshotReader(_Reader):
+    suffix = ".snap"
+
+    def rows(self, name, f):
+        packed = f.read(2) == b"\x1f\x8b"
+        f.seek(0)
+        with gzip.open(f) if packed else f as whole:
+            for header, e in codec.snapshot_events(whole):
+                yield (header.get("id"), *(e[c] for c, _, _ in codec.FIELDS))
+
+
 class _FrameReader(_Reader):
     suffix = ".frames"
 
@@ -104,6 +116,20 @@ class WalSource(DataSource):
         return _Writer(self.options, schema, codec.wal_entry, ".wal")
 
 
+class SnapshotSource(DataSource):
+    """Snapshot files, packed with gzip or not, as their events; read only."""
+
+    @classmethod
+    def name(cls):
+        return "tide_snapshot"
+
+    def schema(self):
+        return LOG.replace("_file STRING, _offset BIGINT", "snapshot_id STRING")
+
+    def reader(self, schema):
+        return _SnapshotReader(self.options)
+
+
 class FrameSource(DataSource):
     @classmethod
     def name(cls):
@@ -120,5 +146,5 @@ class FrameSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (EventLogSource, WalSource, FrameSource):
+    for source in (EventLogSource, WalSource, SnapshotSource, FrameSource):
         spark.dataSource.register(source)
