@@ -153,6 +153,26 @@ def test_viterbi_takes_the_likeliest_reading():
         assert toxicity.decode(unit, model) == best[1]
 
 
+def test_toxicity_reads_every_disguise():
+    model = toxicity.CharModel.of(toxicity.trigrams("you moron stupid idiot you are a moron and stupid idiot you alpha beta " * 50))
+    reader = toxicity.Reader(model)
+    for hidden, word in [("m" + "o" * 70 + "ron", "moron"), ("alpha,beta," * 9 + "m0ron,alpha", "moron"), ("mo-ron", "moron"), ("st.upid", "stupid"), ("id_iot", "idiot"), ("iddiiot", "idiot"), ("you-mo-ron", "moron"), ("(i d i o t)", "idiot"), ("m - o - r - o - n", "moron"),
+                         ("y o u m o r o n", "moron"), ("y o u i d i o t", "idiot"), ("s t u p i d " * 40 + "m o r o n", "moron"), ("stup1d$$$", "stupid")]:
+        assert word in reader.words(f"alpha {hidden} beta"), hidden
+    unit = "st00p1d,m0r0n.idd1ot-y.ou" * 40
+    pieces, best = toxicity.lattice(unit[:25], True), None
+    stack = [("", 0.0, 0)]
+    while stack:
+        s, cost, i = stack.pop()
+        if i == len(pieces):
+            total = sum(model.logp[a, b, c] for w in s.split() for codes in [[0, 0, *map(toxicity.letter_code, w), 0]] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)) - cost
+            best = max(best or (total, s), (total, s))
+        else:
+            stack += [(s + t, cost + c, i + 1) for t, c in pieces[i]]
+    assert toxicity.decode(unit[:25], model, True) == best[1]
+    assert toxicity.decode(unit, model, True).split().count("moron") == 40
+
+
 def test_packing(spark):
     t = texts(400)
     rows = packing.pack(documents(spark, t, sources=("a", "b", "c", "d", None)), capacity=64).collect()

@@ -1,9 +1,10 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 1. A character trigram model is counted over every word of every text.
-2. Words that may be disguised (signs or digits among letters, a letter three times in a row, single letters set
-   apart) become a lattice of what they may stand for; Viterbi takes the likeliest letters under the model and the
-   channel's costs. Words with nothing of the kind have one reading and are left as they are.
+2. Words that may be disguised (signs, digits or separators among letters, a letter twice or more in a row, single
+   letters set apart), of any length, become a lattice of what they may stand for; Viterbi takes the likeliest letters
+   under the model and the channel's costs. A separator may hide inside a word or end it: such tokens are read both
+   as one word and with the likeliest word boundaries. Words with nothing of the kind have one reading.
 3. The restored words and their openings are the features. Their weights come from document counts in labelled
    texts; a logistic regression on the strongest of them gives the score. The labelled texts are a bounded sample
    (LABELLED of each class, by a hash of the id); rows whose crc32(id as text) mod 5 is 0 are never learnt from.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -46,9 +48,12 @@ N = 28  # 0 is the edge of a word
 COST_LEET, COST_DROP, COST_RUN = 0.7, 3.0, 0.4
 
 WORDS = re.compile(r"[^\W\d_]+")
-RUN = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|])(?:[ .*_~-]{1,2}(?:[^\W_]|[@$!|])){2,}(?![^\s.,;:!?])")
+RUN = re.compile(r"([^\W\d_])\1")
+SPACED = re.compile(r"""(?<![^\s(\[{"'.,;:])(?:[^\W_]|[@$!|])(?:[ .*_~-]{1,3}(?:[^\W_]|[@$!|])){2,}(?![^\s)\]}"'.,;:!?])""")
 SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
+SEPARATOR = re.compile(r"[\W_]")
+#: What stands around a token and is neither letter nor sign.
+ENDS = re.compile(r"^(?:(?!%s)[\W_])+|(?:(?!%s)[\W_])+$" % ((SIGN.pattern,) * 2))
 
 _CODE = np.full(0x10000, -1, np.int8)
 for _i in range(0x10000):
@@ -58,6 +63,7 @@ for _i in range(0x10000):
         _CODE[_i] = LETTERS.index(_l) + 1 if len(_l) == 1 and _l in LETTERS else OTHER
 
 
+@cache
 def letter_code(c: str) -> int:
     return LETTERS.find(c) + 1 or OTHER
 
@@ -80,60 +86,109 @@ class CharModel:
 
     logp: np.ndarray
 
+    def __post_init__(self):
+        self.flat: list[float] = self.logp.ravel().tolist()  # many times faster to read one by one
+
     @classmethod
     def of(cls, counts: np.ndarray) -> CharModel:
         c = counts.reshape(N, N, N) + 0.5
         return cls(np.log(c / c.sum(axis=2, keepdims=True)))
 
 
-def lattice(unit: str) -> list[list[tuple[str, float]]]:
+def lattice(unit: str, bounds: bool = False) -> list[list[tuple[str, float]]]:
     """Readings of each piece of ``unit`` (lower case): (letters, cost).
 
     A piece is a run of one letter or of one sign; separators between letters may be dropped for nothing.
+    bounds: what is no letter may also end a word, read as a space: a separator for nothing, a sign at the cost of a
+    reading, a digit at that of dropping it. Dropping has a cost where a separator stands twice or seldom hides in words.
     """
     out, i = [], 0
     while i < len(unit):
         c, j = unit[i], i + 1
         while j < len(unit) and unit[j] == c:
             j += 1
-        n, i = j - i, j
-        if c.isalpha():
-            readings = [(c * min(n, 3), 0.0)] if n < 3 else [(c, COST_RUN), (c * 2, COST_RUN * 2)]
-        elif c in LEET:
-            readings = [("", COST_DROP * min(n, 2))]
-            for letter in LEET[c]:
-                readings.append((letter, COST_LEET + (COST_RUN if n > 1 else 0)))
-                if n > 1:
-                    readings.append((letter * 2, COST_LEET + COST_RUN))
-        else:
-            readings = [("", 0.0)]
-        out.append(readings)
+        out.append(_readings(c, min(j - i, 3), bounds))
+        i = j
     return out
 
 
-def decode(unit: str, model: CharModel) -> str:
-    """The likeliest letters for ``unit``: Viterbi over the lattice, with the last two letters as state."""
-    logp = model.logp
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for readings in lattice(unit):
-        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, path) in states.items():
-            for letters, cost in readings:
-                s, x, y, p = score - cost, a, b, path
-                for c in letters:
-                    z = letter_code(c)
-                    s += logp[x, y, z]
-                    x, y, p = y, z, (p, c)
-                old = after.get((x, y))
+@cache
+def _readings(c: str, n: int, bounds: bool) -> list[tuple[str, float]]:
+    if c.isalpha():
+        return [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, COST_RUN)] if n == 2 else [(c, COST_RUN), (c * 2, COST_RUN * 2)]
+    if c not in LEET:
+        return [("", 0.0 if n == 1 and c in SEPARATORS else COST_DROP), (" ", 0.0)] if bounds else [("", 0.0)]
+    readings = [("", COST_DROP * min(n, 2))]
+    for letter in LEET[c]:
+        readings.append((letter, COST_LEET + (COST_RUN if n > 1 else 0)))
+        if n > 1:
+            readings.append((letter * 2, COST_LEET + COST_RUN))
+    if bounds:
+        readings.append((" ", COST_DROP if c.isdigit() else COST_LEET))
+    return readings
+
+
+@cache
+def _coded(c: str, n: int, bounds: bool) -> list[tuple[str, tuple[int, ...], float]]:
+    return [(letters, tuple(0 if x == " " else letter_code(x) for x in letters), cost) for letters, cost in _readings(c, n, bounds)]
+
+
+def decode(unit: str, model: CharModel, bounds: bool = False) -> str:
+    """The likeliest letters for ``unit``: Viterbi over the lattice, with the last two letters as state.
+
+    bounds: with spaces where words end. Time grows with the length alone: where one state is left, what led
+    to it is settled, so a unit of any length falls into exact parts.
+    """
+    flat, done, length = model.flat, [], len(unit)
+    states: dict[int, tuple[float, tuple | None]] | None = None  # by N * the last letter but one + the last
+    only = i = 0  # the one state, while there is no other
+    while i < length:
+        c, j = unit[i], i + 1
+        while j < length and unit[j] == c:
+            j += 1
+        n, i = j - i, j
+        if states is None:
+            if n == 1 and c.isalpha():
+                done.append(c)
+                only = only % N * N + letter_code(c)
+                continue
+            states = {only: (0.0, None)}
+        after: dict[int, tuple[float, tuple | None]] = {}
+        readings = _coded(c, min(n, 3), bounds)
+        for state, (score, path) in states.items():
+            for letters, codes, cost in readings:
+                s, k, p = score - cost, state, path
+                for z in codes:
+                    if z:
+                        s += flat[k * N + z]
+                        k = k % N * N + z
+                    elif k:  # a word has begun: it ends, and the next begins without memory of it
+                        s += flat[k * N]
+                        k = 0
+                    else:
+                        letters = ""
+                if letters:
+                    p = (p, letters)
+                old = after.get(k)
                 if old is None or s > old[0]:
-                    after[x, y] = (s, p)
+                    after[k] = (s, p)
         states = after
-    _, path = max(((s + logp[a, b, 0], p) for (a, b), (s, p) in states.items()), key=lambda t: t[0])
+        if len(states) == 1:
+            (only, (_, path)), = states.items()
+            done += _letters(path)
+            states = None
+    if states is not None:
+        closed = lambda k, p: 0.0 if bounds and not k and (done or p) else flat[k * N]
+        done += _letters(max(((s + closed(k, p), p) for k, (s, p) in states.items()), key=lambda t: t[0])[1])
+    return "".join(done).strip()
+
+
+def _letters(path: tuple | None) -> list[str]:
     out = []
     while path is not None:
         path, c = path
         out.append(c)
-    return "".join(reversed(out))
+    return out[::-1]
 
 
 class Reader(dict):
@@ -144,26 +199,38 @@ class Reader(dict):
         self.model = model
 
     def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(token) > 64:  # seldom met again
+            return self.read(token)
         if len(self) > 200_000:
             self.clear()
         words = self[token] = self.read(token)
         return words
 
     def read(self, token: str) -> tuple[str, ...]:
-        plain = tuple(WORDS.findall(token))
-        if not plain:
+        if token.isalpha():
+            return (token, decode(token, self.model)) if RUN.search(token) else (token,)
+        core = token.strip(".,;:?\"'[]{}")
+        if core.isalpha():
+            return self[core]
+        plain = WORDS.findall(token)
+        if not plain and not SIGN.search(token):
             return ()
         core = token.strip(".,;:!?\"'()[]{}")
-        if len(core) > 64:  # no word; its parts are read as they stand
-            return plain
         inner, cut = core.strip("%&#*$@!|+~-_.,;:"), core.strip("%&#*~-_.,;:")  # a sign at an end may be a letter or not
-        if inner.isalpha():
-            own = (decode(inner, self.model) if RUN.search(inner) else inner,)
-        elif SIGN.search(inner) or RUN.search(inner) or any(len(w) == 1 for w in plain):
-            own = (*plain, decode(inner, self.model))
-        else:
-            own = plain
-        return (*own, decode(cut, self.model)) if cut != inner and len(cut) - len(inner) <= 2 else own
+        units = (ENDS.sub("", token), *((inner, cut) if len(cut) - len(inner) <= 2 else (cut, inner)))
+        return (*plain, *(w for unit in dict.fromkeys(units) if unit for w in self.readings(unit)))
+
+    def readings(self, unit: str) -> list[str]:
+        """``unit`` as one word, then with its likeliest word boundaries."""
+        signs = SIGN.search(unit)
+        word = unit if signs else "".join(WORDS.findall(unit))
+        out = [decode(word, self.model) if signs or RUN.search(word) else word]
+        if not unit.isalpha():
+            if SEPARATOR.search(unit):
+                out += decode(unit, self.model, bounds=True).split()
+        elif out[0] != unit:
+            out.insert(0, unit)
+        return out
 
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text."""
@@ -174,16 +241,15 @@ class Reader(dict):
         for m in SPACED.finditer(low):
             unit = m.group()
             if len(set(unit)) > 2:  # not one letter again and again
-                out.add(decode(unit[:256], self.model) if len(unit) <= 256 else "")
-                if len(unit) > 256:
-                    out.update(decode(unit[i : i + 256], self.model) for i in range(0, len(unit), 192))
+                out.update(self.readings(unit))
+        out.discard("")
         return out
 
 
 def restore(text: str, model: CharModel) -> str:
     """The text with each disguised word replaced by its reading."""
     reader, low = Reader(model), text.lower()
-    low = SPACED.sub(lambda m: decode(m.group(), model) if len(set(m.group())) > 2 else m.group(), low)
+    low = SPACED.sub(lambda m: decode(m.group(), model, bounds=True) if len(set(m.group())) > 2 else m.group(), low)
     return re.sub(r"\S+", lambda m: (reader[m.group()] or (m.group(),))[-1], low)
 
 
