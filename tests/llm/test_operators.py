@@ -173,6 +173,22 @@ def test_toxicity_reads_every_disguise():
     assert toxicity.decode(unit, model, True).split().count("moron") == 40
 
 
+def test_toxicity_scores_keep_their_meaning_when_sampled(spark, monkeypatch):
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 10 == 0
+        rows.append(" ".join(r.choice(WORDS) for _ in range(20)) + (" grumfel" if r.random() < (0.7 if toxic else 0.15) else ""))
+        labels.append((i, int(toxic)))
+    docs, lab = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = toxicity.train(docs, lab)
+    monkeypatch.setattr(toxicity, "LABELLED", 115)
+    some = toxicity.train(docs, lab)
+    assert some.totals[1] == 115 and whole.totals[1] > 1000
+    share = [np.mean([x.score for x in toxicity.score(docs, m).collect()]) for m in (whole, some)]
+    assert all(0.05 < x < 0.2 for x in share), share
+
+
 def test_packing(spark):
     t = texts(400)
     rows = packing.pack(documents(spark, t, sources=("a", "b", "c", "d", None)), capacity=64).collect()

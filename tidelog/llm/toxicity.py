@@ -8,6 +8,9 @@
 3. The restored words and their openings are the features. Their weights come from document counts in labelled
    texts; a logistic regression on the strongest of them gives the score. The labelled texts are a bounded sample
    (LABELLED of each class, by a hash of the id); rows whose crc32(id as text) mod 5 is 0 are never learnt from.
+   Where a class is sampled, the intercept is shifted by the log of the sampling rates, so that a score is the
+   chance of being toxic among all labelled texts, whatever their number. G is a test against chance among the
+   texts seen, so it keeps their shares.
 
 Cases: a null or empty text has no features and gets the score of the intercept, below 0.5; rows whose label is
 null are not learnt from; without labels of both classes every score is 0; repeated rows are alike; an empty
@@ -340,6 +343,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     truth = truth.filter(fold("_id") != HELD_OUT)
     some = [truth.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(LABELLED) for y in (0, 1)]
     some = scratch.save(some[0].unionByName(some[1]))
+    labelled, sampled = (dict(x.groupBy("y").count().collect()) for x in (truth, some))
     # broadcast: at most 2 * LABELLED rows of an id and a label
     learn = df.select(df[id_col].alias("_id"), F.coalesce(df[text_col], F.lit("")).alias("text")).join(F.broadcast(some), "_id")
     learn = scratch.save(learn)
@@ -373,6 +377,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     shown = learn.mapInPandas(show, "a double, b double, c double, y int, i long").toPandas().sort_values(["i", "a", "b", "c"])
     model.coef = logistic(shown[["a", "b", "c"]].to_numpy(), shown["y"].to_numpy())
+    model.coef[0] += np.log(sampled[0] / labelled[0]) - np.log(sampled[1] / labelled[1])
     return model
 
 
