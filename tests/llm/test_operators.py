@@ -305,6 +305,17 @@ def test_secrets(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
 
 
+def test_secret_classes_heed_repositories_and_sightings(spark):
+    rows = [(i, "key api_key=EXAMPLEpasted0123456789", ("en", "de", "fr")[i % 3], "hot") for i in range(120)]
+    rows += [(200 + i, "token = Zx9Kq2Lm8Pw4Rt6Yv1", "en", f"s{i}") for i in range(3)] + [(300 + i, "token = Zx9Kq2Lm8Pw4Rt6Yv2 and token = Zx9Kq2Lm8Pw4Rt6Yv2", "en", "one") for i in range(120)]
+    rows += [(500 + i, "secret = Wide0123456789abcdef", "en", f"s{i}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = secrets.scan(docs)
+    of = {(r.doc_id // 100, s["class"], s["n_repos"], s["n_seen"]) for r in found.collect() for s in r.found}
+    assert of == {(0, "example", 3, 120), (1, "example", 3, 120), (2, "owned", 3, 3), (3, "owned", 1, 120), (4, "owned", 1, 120), (5, "example", 4, 4)}
+    assert {(r.n_repos, r.n_seen) for r in secrets.digest(found).filter("doc_id < 120").collect()} == {(3, 120)}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((700, 16)).astype(np.float32)

@@ -3,8 +3,9 @@
 Each text is scanned once; what remains of it is a narrow row of candidate spans with a SHA-256 of
 each candidate. Ownership is counted over the whole corpus: a candidate's hash is first aggregated by
 (hash, owner, repository), then by hash, so that a credential pasted into a third of all rows is
-summed where it is read. A candidate seen with few owners that looks live (a mix of characters) is
-"owned"; one seen with many owners is an "example", copied widely; the others are "plain".
+summed where it is read. An "example" is copied widely: it stands in many documents of more than few owners, or in
+very many documents of more than few repositories, whoever owns them. Of the others, those that look live (a mix of
+characters) are "owned", the rest "plain".
 
 Besides the base kinds (assign, access, hex) the method adds spans of kind "owned": long mixed tokens
 that no base span touches, with few owners. Secrets themselves are never returned.
@@ -27,8 +28,10 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 LONG = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN_GUARD = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
-#: A candidate with at most so many owners is theirs.
-FEW_OWNERS = 2
+#: A candidate with at most so many owners is theirs, and so is one in at most so many documents.
+FEW_OWNERS, FEW_SEEN = 2, 3
+#: One in more repositories than these and more documents than these is an example, even with few owners.
+FEW_REPOS, MANY_SEEN = 2, 100
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -51,7 +54,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     """A row for each row of ``df``: id_col and ``found``, its spans in order of (start, kind).
 
     A span has start, kind (0 to 3, see KINDS), end (code points, end exclusive), class ("owned", "example",
-    "plain"), n_owners, n_repos and n_seen of its candidate. A repository is (owner_col, repo_col).
+    "plain"), n_owners, n_repos and n_seen (documents) of its candidate. A repository is (owner_col, repo_col).
     """
     scratch = Scratch(df.sparkSession)
     text = F.col("_text")
@@ -73,9 +76,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
         .withColumn("_row", F.monotonically_increasing_id())
     )
     each = found.filter(F.size("_all") > 0).select("_row", "_owner", "_repo", F.inline("_all"))
-    part = each.groupBy("hash", "_owner", "_repo").agg(F.count("*").alias("n"))
+    part = each.select("hash", "_owner", "_repo", "_row").distinct().groupBy("hash", "_owner", "_repo").agg(F.count("*").alias("n"))
     owners = part.groupBy("hash", "_owner").agg(F.sum("n").alias("n"), F.count("*").alias("r")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"), F.sum("n").alias("n_seen"))
-    judged = each.join(owners, "hash").select("_row", F.struct("start", "kind", "end", F.when(F.col("n_owners") > few_owners, "example").when(F.col("live"), "owned").otherwise("plain").alias("class"), "n_owners", "n_repos", "n_seen").alias("s"))
+    copied = ((F.col("n_owners") > few_owners) & (F.col("n_seen") > FEW_SEEN)) | ((F.col("n_repos") > FEW_REPOS) & (F.col("n_seen") > MANY_SEEN))
+    judged = each.join(owners, "hash").select("_row", F.struct("start", "kind", "end", F.when(copied, "example").when(F.col("live"), "owned").otherwise("plain").alias("class"), "n_owners", "n_repos", "n_seen").alias("s"))
     judged = judged.filter((F.col("s.kind") < 3) | (F.col("s.class") == "owned"))
     by_row = judged.groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias("found"))  # one text's spans
     return found.select("_row", F.col("_id").alias(id_col)).join(by_row, "_row", "left").select(id_col, F.coalesce("found", F.array().cast(by_row.schema["found"].dataType)).alias("found"))
@@ -87,11 +91,13 @@ def spans_text(spans: Column) -> Column:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the digest of their spans, and all spans as text."""
+    """Counts of the base kinds, the digest of their spans, all spans as text, and the most repositories and
+    documents that one of the row's candidates stands in."""
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     of = lambda c: F.size(F.filter("found", lambda s: s["class"] == c)).cast("long")
+    most = lambda c: F.coalesce(F.array_max(F.transform("found", lambda s: s[c])), F.lit(0)).cast("long").alias(c)
     base = F.filter("found", lambda s: s["kind"] < 3)
-    return found.select(id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"), of("owned").alias("n_owned"), of("example").alias("n_example"))
+    return found.select(id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"), of("owned").alias("n_owned"), of("example").alias("n_example"), most("n_repos"), most("n_seen"))
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "<SECRET>", **columns) -> DataFrame:
