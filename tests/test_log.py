@@ -139,6 +139,15 @@ def test_bloom(spark):
         bloom.deserialize(b"short")
 
 
+def test_bloom_filter_grows_with_its_items(spark):
+    from tidelog.plans import other_queries
+
+    log = spark.range(30_000).select(F.sha2(F.col("id").cast("string"), 256).alias("originator"))  # FNV spreads short names badly
+    size = other_queries.filter_size(log)
+    got = bloom.estimate(bloom.build(log, "originator", *size), *size).first()
+    assert 29_000 < got["items"] < 31_000 and got["false_positive_rate"] < 0.002
+
+
 def test_agent_lifecycle(spark):
     rows = [("a", i, i, c) for i, c in enumerate(["resume", "start", "pause", "resume", "stop", "stop"])] + [("b", 0, 5, "start"), ("b", 1, 6, "start")]
     got = {r.agent_id: (r.status, r.errors, r.last_active) for r in agents.lifecycle(spark.createDataFrame(rows, "agent_id string, seq long, hlc long, command string")).collect()}

@@ -35,7 +35,10 @@ def over_log(name: str, sql: str | None, view: str = ""):
 
 # --- sketches -------------------------------------------------------------------------------------------------------
 
-BITS, HASHES = bloom.size_for(1000, 0.001)
+def filter_size(log: DataFrame) -> tuple[int, int]:
+    """Bits and hashes for the distinct originators of ``log`` at a false-positive rate of 0.001."""
+    n = log.agg(F.count_distinct("originator")).first()[0]
+    return bloom.size_for(n if n >= 10 else 100, 0.001)
 
 
 @query("bloom_params", "SELECT n, greatest(64, m) AS bits, CAST(greatest(1, round(m / n * ln(2))) AS BIGINT) AS hashes FROM (SELECT n, CAST(ceil(-n * ln(0.001) / (ln(2) * ln(2))) AS BIGINT) AS m FROM (SELECT DISTINCT user_id + 1 AS n FROM events))")
@@ -48,17 +51,22 @@ def bloom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 @over_log("bloom_no_false_negatives", "SELECT count(DISTINCT originator) AS items, count(DISTINCT originator) AS found FROM e")
 def bloom_no_false_negatives(log: DataFrame) -> DataFrame:
     items = log.select("originator").distinct()
-    return bloom.contains(items, "originator", bloom.build(items, "originator", BITS, HASHES), BITS, HASHES).agg(F.count("*").alias("items"), F.count_if("maybe").alias("found"))
+    size = filter_size(log)
+    return bloom.contains(items, "originator", bloom.build(items, "originator", *size), *size).agg(F.count("*").alias("items"), F.count_if("maybe").alias("found"))
 
 
 @over_log("bloom_merge", "SELECT count(DISTINCT originator) AS found FROM e")
 def bloom_merge(log: DataFrame) -> DataFrame:
     items = log.select("originator").distinct()
-    words = bloom.merge(*(bloom.build(r, "originator", BITS, HASHES) for r in log_queries.replicas(log)))
-    return bloom.contains(items, "originator", words, BITS, HASHES).agg(F.count_if("maybe").alias("found"))
+    size = filter_size(log)
+    words = bloom.merge(*(bloom.build(r, "originator", *size) for r in log_queries.replicas(log)))
+    return bloom.contains(items, "originator", words, *size).agg(F.count_if("maybe").alias("found"))
 
 
-over_log("bloom_estimate", None)(lambda log: bloom.estimate(bloom.build(log.select("originator"), "originator", BITS, HASHES), BITS, HASHES))
+@over_log("bloom_estimate", None)
+def bloom_estimate(log: DataFrame) -> DataFrame:
+    size = filter_size(log)
+    return bloom.estimate(bloom.build(log.select("originator"), "originator", *size), *size)
 
 # --- agents ---------------------------------------------------------------------------------------------------------
 
