@@ -316,6 +316,17 @@ def test_secret_classes_heed_repositories_and_sightings(spark):
     assert {(r.n_repos, r.n_seen) for r in secrets.digest(found).filter("doc_id < 120").collect()} == {(3, 120)}
 
 
+def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
+    from tidelog.llm import queries
+
+    r = random.Random(9)
+    base = [r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(200)]
+    rows = [(i, " ".join([*base[:-1], f"last{i}"]), "en", f"s{i}", 0) for i in range(6)] + [(9, "a b", "en", "x", 0), (10, "a b", "en", "y", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = {x.doc_id: x.bin for x in queries.op4_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert len(bins) == 8 and len({bins[i] for i in range(6)}) == 6 and bins[9] != bins[10]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((700, 16)).astype(np.float32)

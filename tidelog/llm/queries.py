@@ -28,7 +28,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    near = neardup.near_duplicates(docs, k=OP2_SHINGLE).filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("_component"))
+    # texts too short for a shingle are clustered where they are equal
+    cluster = F.coalesce(F.concat(F.lit("near "), F.col("_component")), F.concat(F.lit("equal "), F.xxhash64("text")))
+    return packing.pack(docs.join(near, "doc_id", "left"), cluster=cluster)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
