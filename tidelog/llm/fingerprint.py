@@ -1,14 +1,20 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame expressions.
 
 A text's paragraphs are its non-empty lines, where a long line counts as several: it is cut at the first end of a
-sentence after PIECE characters, or after LONGEST. Each distinct one is a 63-bit digest. A sketch has cells in three parts; a digest enters one cell of each part by count, XOR of digests and XOR of checks. Two sketches
-are subtracted cell by cell and peeled: a cell that holds one digest gives it away, which frees others.
-The sketch of all digests, in 24 cells, is the stored fingerprint. To find out how two texts differ, digests are dealt into as
-many small sketches as the likely difference needs; where peeling gets stuck, that sketch is made four times as large
-(four of them, by further hash bits) and tried again.
-
-Cases: a null text is an empty one and has no paragraphs (likeness 1 to another such text); equal texts have
-equal fingerprints; a null id sorts first; rows that share an id are each followed by the next greater
+sentence after PIECE characters, or after LONGEST. Each distinct one has a digest of 44 bits and 20 bits of check.
+A sketch has three parts of ``width`` cells, a power of 2; a digest enters one cell of each part, and a cell
+holds the XOR of its digests. So the subtraction of two sketches is the XOR of their cells, what both have is gone, and a
+sketch of half the width is the XOR of the halves of each part. A cell that holds one digest shows it by the check and its
+place; taking it out frees others (peeling), until the differing digests are recovered and all cells are empty.
+
+The stored fingerprint is a sketch with room for about as many differences as the text has paragraphs. Two stored ones are
+brought to the narrower width, subtracted and peeled. Where the cells in use show that there are too many differences, or
+peeling gets stuck, larger sketches are made and tried, each twice as wide, and after RETRIES of them the digests are
+compared one by one: every likeness is exact as to the digests.
+
+Cases: a null text is an empty one and has no paragraphs (likeness 1 to another such text) and the fingerprint ""; equal
+texts have equal fingerprints; very long texts are taken whole, in time that grows little faster than their
+length; a null id sorts first; rows that share an id are each followed by the next greater
 id, of whose texts the smallest counts; an empty table gives an empty table; further columns are ignored.
 """
 
@@ -19,118 +25,144 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import Scratch, let, ordered_blocks, text_of
 
-PARTS = 3
-#: Cells in each part of a stored fingerprint, and of a sketch that is sized for LOAD differing digests.
-STORED, SMALL, LOAD = 8, 4, 4
-#: More blocks than this are dealt in two steps.
-MANY = 64
-ROUNDS = 16
-#: How often a sketch that does not peel is made four times as large.
-RETRIES = 12
+PARTS, CHECK_BITS, PLACE_BITS = 3, 20, 20
+#: Least cells in each part; cells of a part for each paragraph, before rounding up to a power of 2.
+LEAST, SHARE = 8, 0.6
+#: Differences for each cell of a part up to which peeling is tried; those that a larger sketch is made for.
+MOST_LOAD, GOOD_LOAD = 2.3, 1.8
+ROUNDS = 32
+#: Larger sketches that are tried before digests are compared.
+RETRIES = 4
+#: Cells that are put together at once.
+RUN = 256
 
 #: Least characters of a line's piece that ends with a sentence, and the most of any piece.
 PIECE, LONGEST = 80, 400
 PARAGRAPH = rf"[^\n]{{{PIECE},{LONGEST}}}?[.!?]+(?![^\x20\n])|[^\n]{{1,{LONGEST}}}"
 
-KEY = "struct<key:bigint,sign:int,check:bigint,mask:int,spread:bigint>"
+LONGS = "array<bigint>"
+_MASK = (1 << CHECK_BITS) - 1
+xor = lambda a, b: a.bitwiseXOR(b)
+
+
+def _check(digest: Column) -> Column:
+    return F.xxhash64(F.lit(29), F.shiftright(digest, CHECK_BITS)).bitwiseAND(F.lit(_MASK))
 
 
 def paragraphs(text: Column) -> Column:
-    """Digests of the distinct paragraphs: 63 bits, the last is left for a sign."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-2))))
+    """Digests of the distinct paragraphs, each with its check in the low bits."""
+    checked = lambda h: h.bitwiseAND(F.lit(~_MASK)).bitwiseOR(_check(h))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: let(F.xxhash64(p), checked)))
+
+
+def width_of(n: Column) -> Column:
+    """Cells in each part of a stored sketch of n digests."""
+    return _power(F.greatest(F.lit(float(LEAST)), n * SHARE))
+
 
+def _power(cells: Column) -> Column:
+    """The least power of 2 from ``cells`` on, as far as places have bits."""
+    return F.pow(F.lit(2.0), F.least(F.lit(float(PLACE_BITS)), F.ceil(F.log2(cells)))).cast("int")
 
-def _key(key: Column, sign: Column, width: int) -> Column:
-    """A digest with its check, the bits of its three cells, and what deals it into blocks. width: a power of 2."""
-    place = lambda h, j: F.get(F.array(*(F.lit(1 << (i + j * width)) for i in range(width))), F.shiftright(h, 8 * j).bitwiseAND(F.lit(width - 1)).cast("int"))
-    fields = lambda h: F.struct(
-        key.alias("key"), sign.cast("int").alias("sign"), F.xxhash64(F.lit(29), key).alias("check"), place(h, 0).bitwiseOR(place(h, 1)).bitwiseOR(place(h, 2)).alias("mask"), F.shiftright(h, 24).alias("spread"))
-    return let(F.xxhash64(F.lit(17), key), fields)
 
+def _place(digest: Column, part: Column, width: Column) -> Column:
+    return F.call_function("shiftright", F.xxhash64(F.lit(17), digest), part * PLACE_BITS).bitwiseAND(width - 1).cast("int")
 
-def _keys(digests: Column, sign: int, width: int) -> Column:
-    return F.transform(digests, lambda d: _key(d, F.lit(sign), width))
 
+def sketch(digests: Column, width: Column) -> Column:
+    """The three parts: arrays of ``width`` cells. Digests that stand twice cancel out."""
+    def one_part(j):
+        placed = F.array_sort(F.transform(digests, lambda d: F.struct(_place(d, j, width).alias("c"), d.alias("d"))))
+        first = F.struct(F.array().cast(f"array<{LONGS}>").alias("done"), F.lit(0).alias("base"), F.array().cast(LONGS).alias("out"), F.lit(0).cast("long").alias("cell"))
 
-def _put(cell: Column, keys: Column, times: int) -> Column:
-    """``cell`` with the keys that fall into it added (or, times = -1, taken out)."""
-    return F.aggregate(keys, cell, lambda a, k: F.when(k["mask"].bitwiseAND(a["bit"]) == 0, a).otherwise(F.struct(
-        a["bit"].alias("bit"), (a["n"] + k["sign"] * times).alias("n"), a["key"].bitwiseXOR(k["key"]).alias("key"), a["check"].bitwiseXOR(k["check"]).alias("check"))))
+        def step(a, x):
+            gap = x["c"] - a["base"] - F.size(a["out"])
+            same = F.struct(a["done"].alias("done"), a["base"].alias("base"), a["out"].alias("out"), xor(a["cell"], x["d"]).alias("cell"))
+            longer = lambda out: F.when(F.size(out) < RUN, F.struct(a["done"].alias("done"), a["base"].alias("base"), out.alias("out"), x["d"].alias("cell"))).otherwise(
+                F.struct(F.array_append(a["done"], out).alias("done"), x["c"].alias("base"), F.array().cast(LONGS).alias("out"), x["d"].alias("cell")))
+            return F.when(gap == 0, same).otherwise(let(F.concat(a["out"], F.array(a["cell"]), F.array_repeat(F.lit(0).cast("long"), gap - 1)), longer))
 
+        rest = lambda a: F.array_repeat(F.lit(0).cast("long"), width - 1 - a["base"] - F.size(a["out"]))
+        return F.aggregate(placed, first, step, lambda a: F.concat(F.flatten(a["done"]), a["out"], F.array(a["cell"]), rest(a)))
 
-def sketch(keys: Column, width: int) -> Column:
-    """Cells of the keys; keys of sign -1 are those of a subtracted sketch, as both are sums."""
-    empty = lambda bit: F.struct(bit.alias("bit"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
-    return F.transform(F.array(*(F.lit(1 << i) for i in range(PARTS * width))), lambda bit: _put(empty(bit), keys, 1))
+    return F.transform(F.array(*(F.lit(j) for j in range(PARTS))), one_part)
 
 
-def fingerprint_text(digests: Column) -> Column:
-    """The stored sketch as text: cell:count:key:check in hexadecimal, of the cells that hold something."""
-    cells = F.transform(let(_keys(digests, 1, STORED), lambda keys: sketch(keys, STORED)), lambda c, i: F.when((c["n"] != 0), F.concat_ws(":", i, c["n"], F.hex(c["key"]), F.hex(c["check"]))))
-    return F.array_join(cells, ",")  # skips the empty ones
+def subtract(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda p, q: F.zip_with(p, q, xor))
 
 
-def _pure(cells: Column) -> Column:
-    one = F.filter(cells, lambda c: F.when(F.abs(c["n"]) == 1, c["check"] == F.xxhash64(F.lit(29), c["key"])).otherwise(False))
-    signed = F.array_distinct(F.transform(one, lambda c: F.when(c["n"] < 0, c["key"] + 1).otherwise(c["key"])))
-    return F.transform(signed, lambda k: _key(k.bitwiseAND(F.lit(-2)), 1 - 2 * k.bitwiseAND(F.lit(1)), SMALL))
+def narrowed(parts: Column, width: Column, to: Column) -> Column:
+    """The sketch of ``to`` cells a part that holds the same digests."""
+    halve = lambda p: let((F.size(p) / 2).cast("int"), lambda h: F.zip_with(F.slice(p, F.lit(1), h), F.slice(p, h + 1, h), xor))
+    times = F.log2(width / to).cast("int")
+    return F.when(width == to, parts).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(times, F.lit(1))), parts, lambda now, _: F.transform(now, halve)))
 
 
-def _peel(cells: Column) -> Column:
-    """struct(cells, got): what is left in the cells, and the digests that came out."""
-    def one_round(state, _):
-        def take(pure):
-            mask = F.aggregate(pure, F.lit(0), lambda a, k: a.bitwiseOR(k["mask"]))
-            rest = let(mask, lambda m: F.transform(state["cells"], lambda c: F.when(m.bitwiseAND(c["bit"]) == 0, c).otherwise(_put(c, pure, -1))))
-            return F.when(F.size(pure) == 0, F.struct(state["cells"].alias("cells"), state["got"].alias("got"), F.lit(False).alias("more"))).otherwise(
-                F.struct(rest.alias("cells"), F.concat(state["got"], F.transform(pure, lambda k: k["key"])).alias("got"), F.lit(True).alias("more")))
+def stored(digests: Column) -> Column:
+    """A text's fingerprint: struct(n, width, parts)."""
+    return let(F.size(digests), lambda n: let(width_of(n), lambda w: F.struct(n.alias("n"), w.alias("width"), sketch(digests, w).alias("parts"))))
 
-        return F.when(state["more"], let(_pure(state["cells"]), take)).otherwise(state)
 
-    first = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("got"), F.lit(True).alias("more"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, one_round)
+def as_text(fingerprint: Column) -> Column:
+    """n;width;place:cell,... in hexadecimal, of the cells in use; "" without paragraphs."""
+    cells = F.transform(F.flatten(fingerprint["parts"]), lambda c, i: F.when(c != 0, F.concat_ws(":", i, F.hex(c))))
+    return F.when(fingerprint["n"] == 0, "").otherwise(F.concat_ws(";", fingerprint["n"], fingerprint["width"], F.array_join(cells, ",")))  # skips the empty ones
 
 
-def _decode(keys: Column) -> Column:
-    """Digests that one sketch pair's difference gives, or null when it does not peel."""
-    full = lambda p: F.exists(p["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
-    return F.when(F.size(keys) == 0, F.array().cast("array<bigint>")).otherwise(let(_peel(sketch(keys, SMALL)), lambda p: F.when(~full(p), p["got"])))
+def peel(parts: Column, width: Column) -> Column:
+    """The digests that a sketch holds, or null if it does not peel."""
+    alone = lambda j: lambda d, i: (d != 0) & (d.bitwiseAND(F.lit(_MASK)) == _check(d)) & (_place(d, j, width) == i)
+    pure = lambda now: F.array_distinct(F.flatten(F.transform(now, lambda p, j: F.filter(p, alone(j)))))
+    state = lambda cells, got, more: F.struct(cells.alias("cells"), got.alias("got"), more.alias("more"))
 
+    def one_round(a, _):
+        take = lambda found: F.when(F.size(found) == 0, state(a["cells"], a["got"], F.lit(False))).otherwise(
+            state(subtract(a["cells"], sketch(found, width)), F.concat(a["got"], found), F.lit(True)))
+        return F.when(a["more"], let(pure(a["cells"]), take)).otherwise(a)
 
-def _dealt(keys: Column, blocks: Column, spread, then) -> Column:
-    """The results of ``then`` for the keys of each of ``blocks`` blocks, joined; null if one is null."""
-    part = lambda blocks, i: F.filter(keys, lambda k: F.pmod(spread(k), blocks) == i)
-    all_parts = lambda blocks: F.aggregate(F.sequence(F.lit(0).cast("long"), blocks - 1), F.array().cast("array<bigint>"), lambda got, i: F.when(got.isNull(), got).otherwise(F.concat(got, then(part(blocks, i)))))
-    return F.when(blocks == 1, then(keys)).otherwise(let(blocks, all_parts))
+    empty = lambda cells: ~F.exists(cells, lambda p: F.exists(p, lambda d: d != 0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(parts, F.array().cast(LONGS), F.lit(True)), one_round, lambda a: F.when(empty(a["cells"]), a["got"]))
 
 
-def _retried(keys: Column) -> Column:
-    """A block's digests, its sketch made four times as large (by further hash bits) until it peels."""
-    larger = lambda t: _dealt(keys, F.pow(F.lit(4), t).cast("long"), lambda k: F.xxhash64(t, k["key"]), lambda p: let(p, _decode))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), F.lit(None).cast("array<bigint>"), lambda done, t: F.when(done.isNotNull(), done).otherwise(larger(t)))
+def _differences(parts: Column, width: Column) -> Column:
+    """About how many digests a sketch holds, by its cells in use; infinite if all are."""
+    used = F.size(F.array_remove(F.get(parts, F.lit(0)), F.lit(0).cast("long")))
+    return F.when(used >= width, F.lit(float("inf"))).otherwise(-width * F.log(1 - used / width))
 
 
-def difference(a: Column, b: Column) -> Column:
-    """Digests in just one of two arrays of distinct digests, recovered by peeling.
+def difference(a: Column, b: Column, fa: Column | None = None, fb: Column | None = None) -> Column:
+    """Digests in just one of two arrays of distinct digests. fa, fb: their fingerprints, if they are there.
 
-    The first size is for what the two are likely to differ by: all, when their least digests differ, else a part.
-    A block that does not peel is retried larger; null only if it fails at 4^RETRIES times its size.
+    The fingerprints are subtracted and peeled. Where that fails, larger sketches of both are (made as one, for
+    subtraction is XOR).
     """
     n = F.size(a) + F.size(b)
-    likely = F.when(F.array_min(a).eqNullSafe(F.array_min(b)), F.greatest(F.abs(F.size(a) - F.size(b)), n / 4)).otherwise(n)
-    # many blocks are dealt in two steps, so that no key is looked at for every block
-    blocks = F.greatest(F.lit(1), F.ceil(likely / LOAD)).cast("long")
-    sizes = let(blocks, lambda n: F.struct(n.alias("n"), F.when(n > MANY, F.floor(F.sqrt(n))).otherwise(1).cast("long").alias("outer")))
-    low, high = lambda k: k["spread"], lambda k: F.shiftright(k["spread"], 20)
-    inner = lambda part, z: _dealt(part, F.ceil(z["n"] / z["outer"]).cast("long"), high, lambda q: let(q, _retried))
-    return let(F.concat(_keys(a, 1, SMALL), _keys(b, -1, SMALL)), lambda keys: let(sizes, lambda z: _dealt(keys, z["outer"], low, lambda part: let(part, lambda p: inner(p, z)))))
+    plainly = F.concat(F.array_except(a, b), F.array_except(b, a))
+
+    def larger(width):
+        again = lambda found, t: F.when(found.isNotNull(), found).otherwise(let(F.least(width * F.pow(F.lit(2), t), F.lit(2.0**PLACE_BITS)).cast("int"), lambda w: let(F.concat(a, b), lambda both: peel(sketch(both, w), w))))
+        tries = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES - 1)), F.lit(None).cast(LONGS), again)
+        return F.coalesce(tries, plainly)
+
+    def at(x, y, w):
+        cells = subtract(narrowed(x["parts"], x["width"], w), narrowed(y["parts"], y["width"], w))
+
+        def attempt(z):
+            wide = lambda d: _power(F.greatest(w * 2.0, F.least(d, n.cast("double")) / GOOD_LOAD))
+            found = lambda d: F.when(d <= w * MOST_LOAD, peel(z, w))
+            return let(_differences(z, w), lambda d: let(found(d), lambda got: F.when(got.isNotNull(), got).otherwise(let(wide(d), larger))))
+
+        return let(cells, attempt)
+
+    pair = lambda x: lambda y: let(F.least(x["width"], y["width"]), lambda w: at(x, y, w))
+    return let(stored(a) if fa is None else fa, lambda x: let(stored(b) if fb is None else fb, pair(x)))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared part of all distinct paragraphs of both, from sizes and difference; 1 for two empty ones."""
+def likeness(a: Column, b: Column, fa: Column | None = None, fb: Column | None = None) -> Column:
+    """Shared part of all distinct paragraphs of both, from their numbers and their difference; 1 for two empty ones."""
     n = F.size(a) + F.size(b)
-    of = lambda d: F.when(n == 0, F.lit(1.0)).when(d.isNull(), F.lit(0.0)).otherwise((n - F.size(d)) / (n + F.size(d)))
-    return let(difference(a, b), of)
+    return let(F.size(difference(a, b, fa, fb)), lambda d: F.when(n == 0, F.lit(1.0)).otherwise((n - d) / (n + d)))
 
 
 def _followers(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
@@ -165,9 +197,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(text, F.lit(1), n - half), F.substring(F.col("_head"), F.lit(1), half))
     done = both.select("_id", n.cast("long").alias("n_chars"), paragraphs(text).alias("_a"), edited.alias("_edited"), "_next_digests")
-    done = done.select("_id", "n_chars", "_a", F.sha2("_edited", 256).alias("edited_sha256"), paragraphs(F.col("_edited")).alias("_b"), "_next_digests")
+    done = done.select("_id", "n_chars", "_a", F.sha2("_edited", 256).alias("edited_sha256"), paragraphs(F.col("_edited")).alias("_b"), F.col("_next_digests").alias("_c"))
+    done = done.select("*", *(stored(F.col(f"_{c}")).alias(f"_f{c}") for c in "abc"))
     return done.select(
-        F.col("_id").alias(id_col), "n_chars", "edited_sha256", fingerprint_text(F.col("_a")).alias("fingerprint"), fingerprint_text(F.col("_b")).alias("edited_fingerprint"),
-        likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_next_digests")).alias("near_next"),
+        F.col("_id").alias(id_col), "n_chars", "edited_sha256", as_text(F.col("_fa")).alias("fingerprint"), as_text(F.col("_fb")).alias("edited_fingerprint"),
+        *(likeness(F.col("_a"), F.col(f"_{c}"), F.col("_fa"), F.col(f"_f{c}")).alias(name) for c, name in (("b", "near_edited"), ("c", "near_next"))),
         F.size("_a").cast("long").alias("n_paragraphs"),
     )

@@ -9,20 +9,22 @@
    with the hashes of its full set; what links two components there is confirmed on the texts as well. A block
    gives no more links than it has members, yet no candidate pair between components goes untested.
 
-Cases: a null text or one without words has an empty set, is linked with nothing and is its own class; a null
-id never stands for a group that has another; repeated rows are one class; rows that share an id but not the text
-count as different nodes; an empty table gives an empty table; further columns are ignored.
+Cases: a null text or one without words has an empty set, is linked with nothing and is its own class; ids of any
+type come back as they are; a null id never stands for a group that has another; repeated rows are one class; rows that
+share an id but not the text count as different nodes; texts of any length are taken whole; an empty table gives an empty
+table; further columns are ignored, in ``deduplicate`` they stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch
+from tidelog.llm.common import Scratch, free_name
 from tidelog.llm.graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -32,8 +34,6 @@ HASHES = BANDS * ROWS
 AGREE = 0.62
 #: Members of a bucket compared at once.
 BLOCK = 512
-#: Stands in for a null id.
-NO_ID = 1 << 62
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,15 +85,27 @@ def minima(x: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+#: Texts whose sets are in memory at once in a Python worker.
+ROWS_AT_ONCE = 1024
+
+
+def _pieces(batches):
+    """Arrow batches in pieces of few rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _signed(k: int):
     def sign(batches):
         known = _WordHashes()
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                w = words(text)
+        for batch in _pieces(batches):
+            sizes, same, sigs, bands = [], [], [], []
+            for text in batch.column("text"):
+                w = words(text.as_py())
                 if not w:
-                    rows.append((0, None, None, None))
+                    for out, v in ((sizes, 0), (same, None), (sigs, None), (bands, None)):
+                        out.append(v)
                     continue
                 x = shingle_hashes(w, k, known)
                 sig = minima(x)
@@ -101,8 +113,13 @@ def _signed(k: int):
                 band = np.arange(1, BANDS + 1, dtype=np.uint64)
                 for j in range(ROWS):
                     band = _mixed(band * _MIX[j + 8] + wide[:, j])
-                rows.append((len(x), xxhash.xxh3_128_digest(b" ".join(w)), sig.tobytes(), band.view(np.int64)))
-            yield pd.DataFrame({"_row": pdf["_row"], "_node": pdf["_node"], **dict(zip(("n", "same", "sig", "bands"), zip(*rows, strict=True), strict=True))} if rows else {c: [] for c in ("_row", "_node", "n", "same", "sig", "bands")})
+                sizes.append(len(x))
+                same.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                sigs.append(sig.tobytes())
+                bands.append(band.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["_row", "_id", "n", "same", "sig", "bands"])
 
     return sign
 
@@ -269,13 +286,16 @@ def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_
 
     component_id is the least id reachable by links; kept marks the rows that carry it.
     row_col names a column of distinct numbers of the rows of ``df``, which must be a written table then; the result has
-    it as _row, and _first, the component's least _row among the rows with its id.
+    it as _row, and comp, a number of the component, null for a row without words.
     """
     scratch = Scratch(df.sparkSession)
-    rows = df.select(df[id_col].cast("long").alias("_id"), df[text_col].alias("text"), (df[row_col] if row_col else F.monotonically_increasing_id()).alias("_row")).withColumn("_node", F.coalesce("_id", F.lit(NO_ID) + F.col("_row")))
+    rows = df.select(df[id_col].alias("_id"), df[text_col].alias("text"), (df[row_col] if row_col else F.monotonically_increasing_id()).alias("_row"))
     rows = rows if row_col else scratch.save(rows)
-    signed = scratch.save(rows.select("_row", "_node", "text").mapInPandas(_signed(k), "_row long, _node long, n long, same binary, sig binary, bands array<long>"))
-    classes = scratch.save(signed.filter("n > 0").groupBy("same").agg(F.min("_row").alias("_class"), F.min("_node").alias("_least")))
+    kind = rows.schema["_id"].dataType.simpleString()
+    signed = scratch.save(rows.select("_row", "_id", "text").mapInArrow(_signed(k), f"_row long, _id {kind}, n long, same binary, sig binary, bands array<long>"))
+    # the least id; where all are null, the first row stands for the class
+    least = [F.min("_id").alias("_least"), F.min(F.when(F.col("_id").isNull(), F.col("_row"))).alias("_unnamed")]
+    classes = scratch.save(signed.filter("n > 0").groupBy("same").agg(F.min("_row").alias("_class"), *least))
     members = signed.select("_row", "bands").join(classes.select("_class"), F.col("_row") == F.col("_class"), "left_semi").select("_row", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("_row").alias("lead"), F.count("*").alias("c")).filter("c > 1").select("bucket", "lead")
     members = scratch.save(members.join(shared, "bucket"))
@@ -294,23 +314,24 @@ def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_
         if n_more == pairs.count():
             break
 
-    comps = classes.join(links, F.col("_class") == F.col("u"), "left").select("same", "_class", "_least", F.coalesce("v", "_class").alias("comp"))
-    least = comps.groupBy("comp").agg(F.min("_least").alias("_to"))
-    comps = comps.join(least, "comp").select("same", "_to")
-    out = signed.select("_row", "_node", "n", "same").join(comps, "same", "left").withColumn("_to", F.coalesce("_to", "_node"))
-    shown = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    out = out.select("_row", shown("_node").alias(id_col), F.col("n").alias("n_shingles"), shown("_to").alias("component_id"), (F.col("_node") == F.col("_to")).alias("kept"), "_to")
-    if row_col:
-        first = out.filter("kept").groupBy("_to").agg(F.min("_row").alias("_first"))
-        out = scratch.save(out.join(first, "_to").drop("_to"))
-    else:
-        out = scratch.save(out.drop("_row", "_to"))
+    comps = classes.join(links, F.col("_class") == F.col("u"), "left").select("same", "_least", "_unnamed", F.coalesce("v", "_class").alias("comp"))
+    least = comps.groupBy("comp").agg(F.min("_least").alias("_to"), F.min("_unnamed").alias("_to_row"))
+    comps = comps.join(least, "comp").select("same", "comp", "_to", F.when(F.col("_to").isNull(), F.col("_to_row")).alias("_to_row"))
+    out = signed.select("_row", "_id", "n", "same").join(comps, "same", "left")
+    no_words = F.col("comp").isNull()
+    out = out.withColumn("_to", F.when(no_words, F.col("_id")).otherwise(F.col("_to")))
+    kept = no_words | F.when(F.col("_to").isNull(), F.col("_row") == F.col("_to_row")).otherwise(F.col("_id").eqNullSafe(F.col("_to")))
+    out = out.select(*(["_row", "comp"] if row_col else []), F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_to").alias("component_id"), kept.alias("kept"))
+    out = scratch.save(out)
     scratch.keep_only(out)
     return out
 
 
 def deduplicate(df: DataFrame, **kwargs) -> DataFrame:
-    """``df`` with one row of each group of near-duplicates; columns stay."""
-    rows = Scratch(df.sparkSession).save(df.withColumn("_row", F.monotonically_increasing_id()))
-    kept = near_duplicates(rows, row_col="_row", **kwargs).filter("_row = _first").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*df.columns)
+    """``df`` with one row of each group of near-duplicates; columns and their values stay as they are."""
+    row = free_name(df, "_row")
+    rows = Scratch(df.sparkSession).save(df.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(rows, row_col=row, **kwargs).filter("kept")
+    # a row without words is no copy of another; of rows that share an id and a component one stays
+    kept = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("_row").alias("_kept_row")).select("_kept_row").unionByName(found.filter("comp IS NULL").select(F.col("_row").alias("_kept_row")))
+    return rows.join(kept, rows[row] == F.col("_kept_row"), "left_semi").select(*(rows[c] for c in df.columns))

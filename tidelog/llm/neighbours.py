@@ -6,11 +6,13 @@ vector is estimated from the bits and the scalar; the estimate's error is bounde
 Only vectors whose upper bound reaches the k-th best exact score so far are reranked on the original
 components in double precision. Every row is indexed; there is no cap on candidates.
 
-Queries go to the executors in waves of a fixed number, so that what is broadcast does not grow with the input.
+Queries go to the executors in waves of a fixed number, each written before the next begins and its broadcast destroyed,
+so that neither what is broadcast nor what the driver holds grows with the input.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or as
 candidates; vectors of another length than the query have no cosine with it and are left out; repeated
-rows are candidates of their own; an empty table gives an empty table; further columns are ignored.
+rows are candidates of their own, and queries of their own: each row that is a query is answered, with the other rows
+of its id among its candidates; rows with a null id take no part; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,10 +79,10 @@ class _Best:
         self.score[own], self.ids[own] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
 
 
-def _search(best: _Best, q_ids: np.ndarray, q: np.ndarray, turned: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scalars: np.ndarray, k: int) -> None:
+def _search(best: _Best, q_rows: np.ndarray, c_rows: np.ndarray, q: np.ndarray, turned: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scalars: np.ndarray, k: int) -> None:
     for a in range(0, len(q), QUERIES):
         est, width = estimate(turned[a : a + QUERIES], codes, scalars)
-        own = q_ids[a : a + QUERIES, None] == ids[None, :]
+        own = q_rows[a : a + QUERIES, None] == c_rows[None, :]
         bar = best.score[a : a + QUERIES, k - 1].copy()
         fresh = bar == -np.inf
         if fresh.any():  # the k-th greatest lower bound is a bar that nothing better falls below
@@ -102,7 +104,7 @@ def usable(vector: Column) -> Column:
 
 
 def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v, code, scalar) of each usable row."""
+    """(id, row, v, code, scalar) of each usable row; row numbers the rows of ``df``."""
     def coded(batches):
         for pdf in batches:
             for d, part in pdf.groupby(pdf["v"].map(len)):
@@ -110,9 +112,9 @@ def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
                 codes, scalars = encode(x / np.sqrt((x * x).sum(axis=1))[:, None], rotation(d))
                 yield part.assign(code=[c.tobytes() for c in codes], scalar=scalars)
 
-    rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"))
+    rows = df.select(df[id_col].cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), df[vector_col].cast("array<double>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v")))
-    return rows.mapInPandas(coded, "id long, v array<double>, code binary, scalar double")
+    return rows.mapInPandas(coded, "id long, row long, v array<double>, code binary, scalar double")
 
 
 def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", wave: int = WAVE) -> DataFrame:
@@ -120,13 +122,13 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     spark = df.sparkSession
     scratch = Scratch(spark)
     coded = scratch.save(index(df, id_col, vector_col))
-    queries = coded.filter(is_query).select("id", "v")
+    queries = coded.filter(is_query).select("row", "id", "v")
     waves = max(1, -(-queries.count() // wave))
-    found = None
+    found = []
     for w in range(waves):
-        # at most about ``wave`` rows, dealt by a hash of the id
-        got = queries.filter(F.pmod(F.xxhash64("id"), F.lit(waves)) == w).toPandas().sort_values("id", kind="stable").drop_duplicates("id")
-        by_d = {d: (part["id"].to_numpy(np.int64), _matrix(part["v"])) for d, part in got.groupby(got["v"].map(len))}
+        # at most about ``wave`` rows, dealt by a hash of the row
+        got = queries.filter(F.pmod(F.xxhash64("row"), F.lit(waves)) == w).toPandas().sort_values(["id", "row"], kind="stable")
+        by_d = {d: (part["row"].to_numpy(np.int64), part["id"].to_numpy(np.int64), _matrix(part["v"])) for d, part in got.groupby(got["v"].map(len))}
         sent = spark.sparkContext.broadcast(by_d)
 
         def nearest(batches, sent=sent):
@@ -137,19 +139,24 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
                 for d, part in pdf.groupby(pdf["v"].map(len)):
                     if d not in sent.value:
                         continue
-                    q_ids, q = sent.value[d]
+                    q_rows, _, q = sent.value[d]
                     if d not in best:
-                        best[d] = (_Best(len(q_ids), k), (q / np.sqrt((q * q).sum(axis=1))[:, None]) @ rotation(d))
-                    ids, x = part["id"].to_numpy(np.int64), _matrix(part["v"])
+                        best[d] = (_Best(len(q_rows), k), (q / np.sqrt((q * q).sum(axis=1))[:, None]) @ rotation(d))
+                    rows, ids, x = part["row"].to_numpy(np.int64), part["id"].to_numpy(np.int64), _matrix(part["v"])
                     codes = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(ids), -1)
                     for a in range(0, len(ids), ROWS):
                         s = slice(a, a + ROWS)
-                        _search(best[d][0], q_ids, q, best[d][1], ids[s], x[s], codes[s], part["scalar"].to_numpy()[s], k)
+                        _search(best[d][0], q_rows, rows[s], q, best[d][1], ids[s], x[s], codes[s], part["scalar"].to_numpy()[s], k)
             for d, (b, _) in best.items():
                 r, c = np.nonzero(b.score > -np.inf)
-                yield pd.DataFrame({"query_id": sent.value[d][0][r], "vec_id": b.ids[r, c], "score": b.score[r, c]})
-
-        part = coded.mapInPandas(nearest, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield pd.DataFrame({"query": sent.value[d][0][r], "query_id": sent.value[d][1][r], "vec_id": b.ids[r, c], "score": b.score[r, c]})
+
+        part = coded.mapInPandas(nearest, "query long, query_id long, vec_id long, score double")
+        by_query = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        found.append(scratch.save(part.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")))
+        sent.destroy()
+    scratch.keep_only(*found)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out

@@ -2,18 +2,21 @@
 
 A bin holds at most one document of each source and one of each duplicate cluster. A document
 longer than a bin fills bins of its own and sends the rest to be packed. Documents are dealt into packing groups
-of about GROUP rows by a hash of their id, so copies and a hot source spread evenly; each group is packed alone:
+of about GROUP rows by a hash of id and row, so copies, rows of one id and a hot source spread evenly; each group is packed alone:
 longest first, into the bin with the least residual that fits and carries neither its source's nor its
 cluster's bit, found by searching upwards from the successor of its length.
 
 Cases: a null text or one without words takes a place of length 0; a null source or cluster never conflicts;
-repeated rows are documents of their own; an empty table gives an empty table; further columns are ignored.
+repeated rows are documents of their own; ids of any type come back as they are; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,28 +67,25 @@ def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_c
         df[id_col].alias("_id"), df[source_col].cast("string").alias("source"), F.when(df[text_col].isNotNull(), cluster.cast("string")).alias("cluster"),
         n_words(text_of(df[text_col])).alias("n")).withColumn("_row", F.monotonically_increasing_id()))
     groups = max(1, -(-rows.count() // GROUP))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_id", "n", F.when(F.col("_id").isNull(), F.col("_row"))), F.lit(groups)))
-
-    def packed(pdf):
-        import pandas as pd
-
-        n, full = pdf["n"].to_numpy(), pdf["n"].to_numpy() // capacity
-        rest = n - full * capacity
-        take = (rest > 0) | (n == 0)
-        pdf = pdf.assign(rest=rest, full=full)
-        items = pdf[take].sort_values(["rest", "_id", "_row"], ascending=[False, True, True], kind="stable")
-        sources, clusters = pd.factorize(items["source"])[0].tolist(), pd.factorize(items["cluster"])[0].tolist()
-        placed = best_fit(items["rest"].tolist(), sources, clusters, capacity)
-        group = int(pdf["_group"].iloc[0]) << BIN_BITS
-        parts = [pd.DataFrame({"_id": items["_id"], "n_tokens": items["n"], "piece": items["full"], "start": items["full"] * capacity, "length": items["rest"], "bin": [group + b for b, _ in placed], "position": [p for _, p in placed]})]
-        whole = pdf[pdf["full"] > 0]
-        if len(whole):
-            long = whole.loc[whole.index.repeat(whole["full"])].sort_values(["_id", "_row"], kind="stable")
-            piece = long.groupby("_row", sort=False).cumcount()
-            next_bin = group + max((b for b, _ in placed), default=-1) + 1
-            parts.append(pd.DataFrame({"_id": long["_id"], "n_tokens": long["n"], "piece": piece, "start": piece * capacity, "length": capacity, "bin": range(next_bin, next_bin + len(long)), "position": 0}))
-        return pd.concat(parts)
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_id", "n", "_row"), F.lit(groups)))
+
+    def packed(rows: pa.Table) -> pa.Table:
+        n = rows.column("n").to_numpy()
+        full, rest = n // capacity, n % capacity
+        order = pc.sort_indices(rows.append_column("_rest", pa.array(rest)), [("_rest", "descending"), ("_id", "ascending"), ("_row", "ascending")]).to_numpy()
+        items = order[((rest > 0) | (n == 0))[order]]
+        bits = lambda c: pc.fill_null(rows.column(c).combine_chunks().take(pa.array(items)).dictionary_encode().indices, -1).to_pylist()
+        placed = best_fit(rest[items].tolist(), bits("source"), bits("cluster"), capacity)
+        group = rows.column("_group")[0].as_py() << BIN_BITS
+        long = np.repeat(order, full[order])  # the full bins of long documents
+        piece = np.arange(len(long)) - np.repeat(np.cumsum(full[order]) - full[order], full[order])
+        first = group + max((b for b, _ in placed), default=-1) + 1
+        at = np.r_[items, long]
+        columns = {
+            "n_tokens": n[at], "piece": np.r_[full[items], piece], "start": np.r_[full[items], piece] * capacity, "length": np.r_[rest[items], np.full(len(long), capacity)],
+            "bin": np.r_[np.array([group + b for b, _ in placed], dtype=np.int64), first + np.arange(len(long))], "position": np.r_[np.array([p for _, p in placed], dtype=np.int64), np.zeros(len(long), np.int64)]}
+        return pa.table({"_id": rows.column("_id").take(pa.array(at)), **{k: pa.array(v.astype(np.int64)) for k, v in columns.items()}})
 
     kind = rows.schema["_id"].dataType.simpleString()
-    out = rows.groupBy("_group").applyInPandas(packed, f"_id {kind}, n_tokens long, piece long, start long, length long, bin long, position long")
+    out = rows.groupBy("_group").applyInArrow(packed, f"_id {kind}, n_tokens long, piece long, start long, length long, bin long, position long")
     return out.withColumnRenamed("_id", id_col)

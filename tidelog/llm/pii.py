@@ -7,8 +7,8 @@ national number, an address with a spelled-out sign). It is decoded by Viterbi i
 words whose best tag is "none" by more than any transition could make up for are fixed, and only the runs between
 them go through the recursion. That is the same path as without the shortcut.
 
-Cases: a null or empty text has no spans; repeated rows are alike; an empty table gives an empty table; further
-columns are ignored.
+Cases: a null or empty text has no spans; repeated rows are alike; words and texts of any length are taken whole; ids of
+any type come back as they are, null ones too; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,8 +108,14 @@ def tokens(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(starts):
         return starts, ends, starts
     length = ends - starts
-    packed = np.add.reduceat(_CHARS[small], starts)
-    packed[length > _LONG] = 1 << _BITS
+    chars = _CHARS[small]
+    packed = np.add.reduceat(chars, starts)
+    for i in np.flatnonzero(length > _LONG):  # counts may run over: saturated one by one
+        own = chars[starts[i] : ends[i]]
+        sums = [int(((own >> (_BITS * f)) & 1).sum()) for f in range(_FIELDS)]
+        if sums[2] < sums[1]:
+            sums[2] = min(sums[2], _LONG - 1)  # not all letters are capitals
+        packed[i] = sum(min(n, _LONG) << (_BITS * f) for f, n in enumerate(sums))
     field = lambda i: (packed >> (_BITS * i)) & ((1 << _BITS) - 1)
     letters, capitals = field(1), field(2)
     values = (
@@ -318,6 +325,8 @@ def _shown(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
+
 #: Characters whose words are tagged at once.
 BATCH_CHARS = 1_500_000
 
@@ -328,26 +337,28 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     model = train()  # a few hundred kilobytes
 
     def scan(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+        for batch in batches:
+            lengths = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
             at = 0
-            while at < len(texts):
+            while at < batch.num_rows:
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= BATCH_CHARS):
-                    chars += len(texts[to])
+                while to < batch.num_rows and (to == at or chars + lengths[to] <= BATCH_CHARS):
+                    chars += lengths[to]
                     to += 1
-                base = [base_spans(t) for t in texts[at:to]]
-                more = added_spans(texts[at:to], model)
-                more = [clear_of(m, own, t) if m and own else m for m, own, t in zip(more, base, texts[at:to], strict=True)]
-                as_rows = lambda spans: [[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in own] for own in spans]
-                yield pd.DataFrame({
-                    "_id": pdf["_id"].iloc[at:to].array, "base": as_rows(base), "added": as_rows(more),
-                    "base_text": [_shown(b) for b in base], "all_text": [_shown(sorted(b + m)) if m else _shown(b) for b, m in zip(base, more, strict=True)]})
+                texts = batch.column("text").slice(at, to - at).to_pylist()
+                base = [base_spans(t) for t in texts]
+                more = added_spans(texts, model)
+                more = [clear_of(m, own, t) if m and own else m for m, own, t in zip(more, base, texts, strict=True)]
+                as_rows = lambda spans: pa.array([[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in own] for own in spans], SPANS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id").slice(at, to - at), as_rows(base), as_rows(more), pa.array([_shown(b) for b in base], pa.string()),
+                     pa.array([_shown(sorted(b + m)) if m else _shown(b) for b, m in zip(base, more, strict=True)], pa.string())],
+                    ["_id", "base", "added", "base_text", "all_text"])
                 at = to
 
     kind, spans = df.schema[id_col].dataType.simpleString(), "array<struct<start:int,kind:string,end:int>>"
     rows = df.select(df[id_col].alias("_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    return rows.mapInPandas(scan, f"_id {kind}, base {spans}, added {spans}, base_text string, all_text string").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(scan, f"_id {kind}, base {spans}, added {spans}, base_text string, all_text string").withColumnRenamed("_id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

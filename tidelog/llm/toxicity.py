@@ -7,14 +7,16 @@
    as one word and with the likeliest word boundaries. Words with nothing of the kind have one reading.
 3. The restored words and their openings are the features. Their weights come from document counts in labelled
    texts; a logistic regression on the strongest of them gives the score. The labelled texts are a bounded sample
-   (LABELLED of each class, by a hash of the id); rows whose crc32(id as text) mod 5 is 0 are never learnt from.
+   (LABELLED of each class, by a hash of the id; of rows that share an id the smallest text), which bounds the number
+   of features as well; rows whose crc32(id as text) mod 5 is 0 are never learnt from.
    Where a class is sampled, the intercept is shifted by the log of the sampling rates, so that a score is the
    chance of being toxic among all labelled texts, whatever their number. G is a test against chance among the
    texts seen, so it keeps their shares.
 
 Cases: a null or empty text has no features and gets the score of the intercept, below 0.5; rows whose label is
-null are not learnt from; without labels of both classes every score is 0; repeated rows are alike; an empty
-table gives an empty table; further columns are ignored.
+null are not learnt from; without labels of both classes every score is 0; repeated rows are alike; texts of any
+length are read whole; ids of any type come back as they are, null ones too; an empty table gives an empty table; further
+columns are ignored, in ``reject`` they stay.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch
+from tidelog.llm.common import Scratch, lean_batches
 
-#: Labelled texts of each class that the classifier is fitted on, and the features it may keep.
-LABELLED, FEATURES = 20_000, 20_000
+#: Labelled texts of each class that the classifier is fitted on.
+LABELLED = 20_000
 #: Documents that a feature must stand in, and its least log-odds.
 LEAST_DOCS, LEAST_WEIGHT = 4, 1.5
 #: Least G statistic of a feature against chance: among millions of rare words some stand in toxic texts only.
@@ -52,7 +55,12 @@ COST_LEET, COST_DROP, COST_RUN = 0.7, 3.0, 0.4
 
 WORDS = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"([^\W\d_])\1")
+SAME = re.compile(r"(.)\1+", re.S)
+#: What is taken off a token's ends before it is looked at; none of it stands for a letter.
+AROUND = ".,;:?\"'[]{}"
 SPACED = re.compile(r"""(?<![^\s(\[{"'.,;:])(?:[^\W_]|[@$!|])(?:[ .*_~-]{1,3}(?:[^\W_]|[@$!|])){2,}(?![^\s)\]}"'.,;:!?])""")
+#: The last two units of such a run and what stands before them.
+MAYBE_SPACED = re.compile(r"[ .*_~-](?:[^\W_]|[@$!|])[ .*_~-]{1,3}(?:[^\W_]|[@$!|])(?![^\W_])")
 SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
 SEPARATOR = re.compile(r"[\W_]")
 #: What stands around a token and is neither letter nor sign.
@@ -204,7 +212,7 @@ class Reader(dict):
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(token) > 64:  # seldom met again
             return self.read(token)
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         words = self[token] = self.read(token)
         return words
@@ -212,7 +220,7 @@ class Reader(dict):
     def read(self, token: str) -> tuple[str, ...]:
         if token.isalpha():
             return (token, decode(token, self.model)) if RUN.search(token) else (token,)
-        core = token.strip(".,;:?\"'[]{}")
+        core = token.strip(AROUND)
         if core.isalpha():
             return self[core]
         plain = WORDS.findall(token)
@@ -241,14 +249,19 @@ class Reader(dict):
         out: set[str] = set()
         for token in set(low.split()):
             out.update(self[token])
-        for m in SPACED.finditer(low):
-            unit = m.group()
-            if len(set(unit)) > 2:  # not one letter again and again
-                out.update(self.readings(unit))
+        for unit in spaced(low):
+            out.update(self.readings(unit))
         out.discard("")
         return out
 
 
+def spaced(low: str) -> list[str]:
+    """The runs of single letters set apart, without those of one letter again and again."""
+    if not MAYBE_SPACED.search(low):
+        return []
+    return [m.group() for m in SPACED.finditer(low) if len(set(m.group())) > 2]
+
+
 def restore(text: str, model: CharModel) -> str:
     """The text with each disguised word replaced by its reading."""
     reader, low = Reader(model), text.lower()
@@ -273,14 +286,14 @@ class Model:
     def weight(self, toxic: int, other: int, t: int, c: int) -> float:
         return float(np.log((toxic + 0.25) / (t + 0.5)) - np.log((other + 0.25) / (c + 0.5)))
 
-    def evidence(self, words: set[str], label: int | None = None) -> list[float]:
-        """What a text shows: its strongest weights and how many are strong.
+    def evidence(self, features: set[str], label: int | None = None) -> list[float]:
+        """What a text shows by its features, all of them in ``counts``: its strongest weights and how many are strong.
 
         label: that of a labelled text, which is then left out of the counts.
         """
         (t, c), out = self.totals, []
         t, c = t - (label == 1), c - (label == 0)
-        for f in features_of(words) & self.counts.keys():
+        for f in features:
             x, y = self.counts[f]
             out.append(self.weight(x - (label == 1), y - (label == 0), t, c))
         out = sorted((w for w in out if w > 0), reverse=True)
@@ -293,6 +306,92 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.coef[1:] + self.coef[0], -30, 30)))
 
 
+class Finder(dict):
+    """The features of a model in texts; as a table, those that a token with signs shows. It remembers the recent ones.
+
+    Letters alone can be read as a feature only if both are alike with their runs taken as one letter each.
+    """
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.reader, self.known = Reader(model.chars), frozenset(model.counts)
+        letters = {f: SAME.sub(r"\1", f.rstrip("*")) for f in self.known}
+        self.whole = {c for f, c in letters.items() if f[-1] != "*"}
+        self.openings = {c for f, c in letters.items() if f[-1] == "*"}
+        self.lengths = sorted({len(c) for c in self.openings})
+        self.trie: dict = {}
+        for c in {*self.whole, *self.openings}:
+            node = self.trie
+            for x in c:
+                node = node.setdefault(x, {})
+            node[""] = True
+
+    def shown(self, words) -> frozenset[str]:
+        return self.known.intersection(features_of(set(words)))
+
+    def possible(self, unit: str) -> bool:
+        """Whether a reading of ``unit`` may hold a feature; never False where one does.
+
+        The states are places in the trie, with the letter that led there; a letter that fits nowhere ends them.
+        """
+        root, states = self.trie, []
+        for c in unit:
+            as_letters = c if c.isalpha() else c + LEET.get(c, "")
+            after = [] if c.isalpha() else states[:]
+            for x in as_letters:
+                for last, node in states:
+                    if x == last:
+                        after.append((last, node))
+                    if x in node:
+                        after.append((x, node[x]))
+                if x in root:
+                    after.append((x, root[x]))
+            if len(after) > 1:
+                after = list({id(node): (last, node) for last, node in after}.values())
+            for _, node in after:
+                if "" in node:
+                    return True
+            states = after
+        return False
+
+    def __missing__(self, token: str) -> frozenset[str]:
+        found = self.shown(self.reader.read(token)) if self.possible(token) else NOTHING
+        if len(token) <= 64:  # longer ones are seldom met again
+            if len(self) > 100_000:
+                self.clear()
+            self[token] = found
+        return found
+
+    def in_letters(self, words: list[str]) -> set[str]:
+        """The features of words of nothing but letters."""
+        once = SAME.sub(r"\1", "\n".join(words)).split("\n")
+        whole = self.whole.intersection(once)
+        openings = set().union(*(self.openings.intersection({w[:n] for w in once}) for n in self.lengths))
+        if not whole and not openings:
+            return set()
+        near = [w for w, o in zip(words, once, strict=True) if o in whole or any(o[:n] in openings for n in self.lengths)]
+        return set().union(*(self.shown(self.reader[w]) for w in near))
+
+    def features(self, text: str) -> set[str]:
+        low = text.lower()
+        tokens = set(low.split())
+        odd = [t for t in tokens if not t.isalpha()]
+        tokens.difference_update(odd)
+        cores = [(t, t.strip(AROUND)) for t in odd]
+        tokens.update(core for _, core in cores if core.isalpha())
+        out = self.in_letters(list(tokens))
+        for token, core in cores:
+            if not core.isalpha():
+                out |= self[token]
+        for unit in spaced(low):
+            if self.possible(unit):
+                out |= self.shown(self.reader.readings(unit))
+        return out
+
+
+NOTHING: frozenset[str] = frozenset()
+
+
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, decay: float = 1e-2) -> np.ndarray:
     """Coefficients, the intercept first, by Newton's method."""
     x = np.c_[np.ones(len(x)), x]
@@ -346,7 +445,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled, sampled = (dict(x.groupBy("y").count().collect()) for x in (truth, some))
     # broadcast: at most 2 * LABELLED rows of an id and a label
     learn = df.select(df[id_col].alias("_id"), F.coalesce(df[text_col], F.lit("")).alias("text")).join(F.broadcast(some), "_id")
-    learn = scratch.save(learn)
+    learn = scratch.save(learn.groupBy("_id", "y").agg(F.min("text").alias("text")))
 
     def count(batches):
         reader = Reader(chars)
@@ -366,44 +465,53 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = learn.select("text", "y").mapInPandas(count, "f string, toxic long, other long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     part = lambda n, share: F.when(n > 0, n * F.log(n / ((F.col("toxic") + F.col("other")) * share))).otherwise(0.0)
     g = 2 * (part(F.col("toxic"), t / (t + c)) + part(F.col("other"), c / (t + c)))
-    found = found.filter((F.col("toxic") >= LEAST_DOCS) & (weight >= LEAST_WEIGHT) & (g >= LEAST_G)).orderBy(F.desc(weight * F.sqrt("toxic")), "f").limit(FEATURES)
-    model.counts = {r["f"]: (r["toxic"], r["other"]) for r in found.toLocalIterator()}
+    found = found.filter((F.col("toxic") >= LEAST_DOCS) & (weight >= LEAST_WEIGHT) & (g >= LEAST_G))
+    # at most so many as 2 * LABELLED texts have words in LEAST_DOCS toxic ones
+    model.counts = {r["f"]: (r["toxic"], r["other"]) for r in sorted(found.collect(), key=lambda r: r["f"])}
 
     def show(batches):
-        reader = Reader(chars)
+        finder = Finder(model)
         for pdf in batches:
-            rows = [model.evidence(reader.words(t), int(y)) for t, y in zip(pdf["text"], pdf["y"], strict=True)]
-            yield pd.DataFrame(rows, columns=["a", "b", "c"]).assign(y=pdf["y"].to_numpy(), i=pdf["_id"].to_numpy())
+            rows = [model.evidence(finder.features(t), int(y)) for t, y in zip(pdf["text"], pdf["y"], strict=True)]
+            yield pd.DataFrame(rows, columns=["a", "b", "c"]).assign(y=pdf["y"].to_numpy())
 
-    shown = learn.mapInPandas(show, "a double, b double, c double, y int, i long").toPandas().sort_values(["i", "a", "b", "c"])
+    # one row for each labelled id that was taken
+    shown = learn.select("text", "y").mapInPandas(show, "a double, b double, c double, y int").toPandas().sort_values(["a", "b", "c", "y"])
     model.coef = logistic(shown[["a", "b", "c"]].to_numpy(), shown["y"].to_numpy())
     model.coef[0] += np.log(sampled[0] / labelled[0]) - np.log(sampled[1] / labelled[1])
+    scratch.keep_only()
     return model
 
 
+def _scores(model: Model, finder: Finder, texts: pa.Array) -> np.ndarray:
+    rows = [model.evidence(finder.features(t.as_py() or "")) for t in texts]  # one text at a time in Python's memory
+    return model.score(np.array(rows).reshape(-1, 3))
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, score, predicted) for each row of ``df``. The model (at most a few MB) is sent to the tasks."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
-        reader = Reader(sent.value.chars)
-        for pdf in batches:
-            rows = np.array([sent.value.evidence(reader.words(t)) for t in pdf["text"]]).reshape(-1, 3)
-            yield pd.DataFrame({"_id": pdf["_id"], "score": sent.value.score(rows)})
+        finder = Finder(sent.value)
+        for batch in batches:
+            scores = _scores(sent.value, finder, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(scores)], ["_id", "score"])
 
+    lean_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(df[id_col].alias("_id"), F.coalesce(df[text_col], F.lit("")).alias("text")).mapInPandas(judge, f"_id {kind}, score double")
+    rows = df.select(df[id_col].alias("_id"), df[text_col].alias("text")).mapInArrow(judge, f"_id {kind}, score double")
     return rows.select(F.col("_id").alias(id_col), (fold("_id") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(df: DataFrame, model: Model, text_col: str = "text", most: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that score below ``most``; columns stay."""
-    sent, columns = df.sparkSession.sparkContext.broadcast(model), df.columns
+    """The rows of ``df`` that score below ``most``; columns and their values stay as they are."""
+    sent, place = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def judge(batches):
-        reader = Reader(sent.value.chars)
-        for pdf in batches:
-            rows = np.array([sent.value.evidence(reader.words(t or "")) for t in pdf[text_col]]).reshape(-1, 3)
-            yield pdf[sent.value.score(rows) < most][columns]
+        finder = Finder(sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(sent.value, finder, batch.column(place)) < most))
 
-    return df.mapInPandas(judge, df.schema)
+    lean_batches(df.sparkSession)
+    return df.mapInArrow(judge, df.schema)
