@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,19 @@ def lean_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str | None):
+    """The session with ``key`` set to ``value`` for a while; None leaves it alone."""
+    before = spark.conf.get(key, None)
+    if value is not None:
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if value is not None:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written once and read again, so that lineage is cut and lost executors cost nothing."""
 
@@ -55,9 +69,12 @@ class Scratch:
         self.saved: list[DataFrame] = []
         self.root = f"{scratch_dir(spark).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, narrow: bool = False) -> DataFrame:
+        """Writes ``df`` and reads it again. narrow: its shuffles are dealt by size alone, so that a small table makes one
+        file instead of one for each core."""
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with setting(self.spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false" if narrow else None):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.saved.append(out)

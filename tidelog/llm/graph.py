@@ -34,10 +34,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each round is written and read again; rounds go on until the edges are stars that no longer change.
     """
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = scratch.save(edges)
+    edges = scratch.save(edges, narrow=True)
     mark = _mark(edges)
     while mark[0]:
-        after = scratch.save(star_round(edges))
+        after = scratch.save(star_round(edges), narrow=True)
         scratch.drop(edges)
         edges, before, mark = after, mark, _mark(after)
         if mark == before:

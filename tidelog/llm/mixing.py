@@ -185,7 +185,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     scratch = Scratch(df.sparkSession)
     rows = scratch.save(df.select(
         df[id_col].alias("_id"), df[source_col].cast("string").alias("source"), n_words(text_of(df[text_col])).alias("size"), (df[row_col] if row_col else F.monotonically_increasing_id()).alias("_row")))
-    goals = scratch.save(targets(rows, weights, most))
+    goals = scratch.save(targets(rows, weights, most), narrow=True)
     ratio = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size"), 12)).otherwise(0.0)
     repeated = not rows.groupBy("_id", "size").count().filter("count > 1").isEmpty()
     each = rows.join(goals, rows["source"].eqNullSafe(goals["source"])).select(rows["*"], "source_size", "target", "n", F.floor(ratio).cast("long").alias("whole"), (ratio - F.floor(ratio)).alias("pi"))
@@ -203,7 +203,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     more = done[0]
     for d in done[1:]:
         more = more.unionByName(d)
-    more = scratch.save(more.filter("pi >= 1").select(F.col("_row").alias("_taken")))
+    more = scratch.save(more.filter("pi >= 1").select(F.col("_row").alias("_taken")), narrow=True)
     out = each.join(more, F.col("_row") == F.col("_taken"), "left").withColumn("copies", F.col("whole") + F.col("_taken").isNotNull().cast("long"))
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0).cast("long")))
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *(["_row"] if row_col else []))
@@ -213,6 +213,6 @@ def apply_mix(df: DataFrame, **kwargs) -> DataFrame:
     """``df`` with each row as often as the mix takes it; columns and their values stay as they are."""
     row = free_name(df, "_row")
     rows = Scratch(df.sparkSession).save(df.withColumn(row, F.monotonically_increasing_id()))
-    copies = mix(rows, row_col=row, **kwargs).filter("copies > 0").select(F.col("_row").alias("_taken_row"), F.col("copies").alias("_n_copies"))
-    both = rows.join(copies, rows[row] == F.col("_taken_row"))
-    return both.select(*(rows[c] for c in df.columns), F.explode(F.sequence(F.lit(1).cast("long"), "_n_copies")).alias(free_name(df, "_copy"))).select(*df.columns)
+    times = free_name(df, "_times")
+    copies = mix(rows, row_col=row, **kwargs).filter("copies > 0").select(F.col("_row").alias(row), F.col("copies").alias(times))
+    return rows.join(copies, row).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*df.columns)

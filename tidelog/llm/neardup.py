@@ -32,8 +32,8 @@ BANDS, ROWS = 28, 4
 HASHES = BANDS * ROWS
 #: Signatures of sets of similarity 0.8 agree in fewer places than this once in a million pairs.
 AGREE = 0.62
-#: Members of a bucket compared at once.
-BLOCK = 512
+#: Members of a bucket compared at once, and their hashes.
+BLOCK, BLOCK_HASHES = 512, 400_000
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,7 +151,7 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, percent: int, scratch: Scratch)
     """The pairs (u, v) whose sizes and signatures allow a link."""
     side = lambda c: sigs.select(F.col("_row").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     pairs = pairs.join(side("u"), "u").join(side("v"), "v").filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    return scratch.save(pairs.filter(F.pandas_udf(_alike, "boolean")("su", "sv")).select("u", "v"))
+    return scratch.save(pairs.filter(F.pandas_udf(_alike, "boolean")("su", "sv")).select("u", "v"), narrow=True)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -265,17 +265,17 @@ def _compare(percent: int, wide: bool):
 
 def _open_buckets(members: DataFrame, links: DataFrame, texts: DataFrame, k: int, percent: int, wide: bool, scratch: Scratch) -> DataFrame:
     """Links (u, v) between components, from the buckets whose members lie in several."""
-    placed = scratch.save(members.join(links, F.col("_row") == F.col("u"), "left").select("_row", "bucket", F.coalesce("v", "_row").alias("comp")))
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y")).filter("a < b")
+    placed = scratch.save(members.join(links, F.col("_row") == F.col("u"), "left").select("_row", "bucket", "n", F.coalesce("v", "_row").alias("comp")))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c"), F.sum("n").alias("h"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y")).filter("a < b")
     # one of the buckets with the same members is enough
-    several = several.groupBy("c", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-    open_ = scratch.save(placed.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("_row"), "nb").cast("int")))
+    several = several.groupBy("c", "h", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("h") / BLOCK_HASHES)).cast("int").alias("nb"))
+    open_ = scratch.save(placed.drop("n").join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("_row"), "nb").cast("int")))
     scratch.drop(placed)
     hashed = scratch.save(_sketched(texts, _row_sketch(open_.select("_row"))).mapInPandas(_hashes(k, wide), "_row long, n long, h binary"))
     spread = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).join(hashed, "_row")
     spread = spread.select("bucket", F.least("own", "o").alias("bi"), F.greatest("own", "o").alias("bj"), "own", "_row", "comp", "n", "h")
     spread = spread.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "_row")
-    pairs = scratch.save(spread.mapInPandas(_compare(percent, wide), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    pairs = scratch.save(spread.mapInPandas(_compare(percent, wide), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), narrow=True)
     scratch.drop(open_)
     scratch.drop(hashed)
     return pairs
@@ -296,10 +296,10 @@ def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_
     # the least id; where all are null, the first row stands for the class
     least = [F.min("_id").alias("_least"), F.min(F.when(F.col("_id").isNull(), F.col("_row"))).alias("_unnamed")]
     classes = scratch.save(signed.filter("n > 0").groupBy("same").agg(F.min("_row").alias("_class"), *least))
-    members = signed.select("_row", "bands").join(classes.select("_class"), F.col("_row") == F.col("_class"), "left_semi").select("_row", F.explode("bands").alias("bucket"))
+    members = signed.select("_row", "n", "bands").join(classes.select("_class"), F.col("_row") == F.col("_class"), "left_semi").select("_row", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("_row").alias("lead"), F.count("*").alias("c")).filter("c > 1").select("bucket", "lead")
     members = scratch.save(members.join(shared, "bucket"))
-    sketch = scratch.save(_row_sketch(members.select("_row")))
+    sketch = scratch.save(_row_sketch(members.select("_row")), narrow=True)
     texts = scratch.save(_sketched(rows.select("_row", "text"), sketch))
     sigs = scratch.save(_sketched(signed.select("_row", "n", "sig"), sketch))
     pairs = members.filter("_row > lead").select(F.col("lead").alias("u"), F.col("_row").alias("v")).distinct()
@@ -307,8 +307,8 @@ def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_
     scratch.drop(sigs)
 
     for wide in (False, True):  # the second time only if a link of the short hashes was none
-        pairs = _open_buckets(members.select("_row", "bucket"), links, texts, k, percent, wide, scratch)
-        more = scratch.save(_links(pairs, texts, k, percent))
+        pairs = _open_buckets(members.select("_row", "n", "bucket"), links, texts, k, percent, wide, scratch)
+        more = scratch.save(_links(pairs, texts, k, percent), narrow=True)
         n_more = more.count()
         links = components(links.unionByName(more), scratch) if n_more else links
         if n_more == pairs.count():
@@ -331,7 +331,7 @@ def deduplicate(df: DataFrame, **kwargs) -> DataFrame:
     """``df`` with one row of each group of near-duplicates; columns and their values stay as they are."""
     row = free_name(df, "_row")
     rows = Scratch(df.sparkSession).save(df.withColumn(row, F.monotonically_increasing_id()))
-    found = near_duplicates(rows, row_col=row, **kwargs).filter("kept")
+    found = near_duplicates(rows, row_col=row, **kwargs).filter("kept").select("comp", F.col("_row").alias(row))
     # a row without words is no copy of another; of rows that share an id and a component one stays
-    kept = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("_row").alias("_kept_row")).select("_kept_row").unionByName(found.filter("comp IS NULL").select(F.col("_row").alias("_kept_row")))
-    return rows.join(kept, rows[row] == F.col("_kept_row"), "left_semi").select(*(rows[c] for c in df.columns))
+    kept = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(row).alias(row)).select(row).unionByName(found.filter("comp IS NULL").select(row))
+    return rows.join(kept, row, "left_semi").select(*df.columns)

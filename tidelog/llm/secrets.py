@@ -130,10 +130,9 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "<SECRET>", **colu
     scratch, at = Scratch(df.sparkSession), free_name(df, "_at")
     rows = scratch.save(df.withColumn(at, F.monotonically_increasing_id()))
     spans = scan(rows, id_col=at, text_col=text_col, **columns)
-    theirs = spans.select(F.col(at).alias("_secret_at"), F.filter("found", lambda s: s["class"] == "owned").alias("_secret_cut")).filter(F.size("_secret_cut") > 0)
-    text = text_of(rows[text_col])
+    cuts, text = free_name(df, "_cut"), text_of(text_col)
+    theirs = spans.select(at, F.filter("found", lambda s: s["class"] == "owned").alias(cuts)).filter(F.size(cuts) > 0)
     step = lambda a, s: F.when(s["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))).otherwise(
         F.struct(F.array_append(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).alias("out"), s["end"].alias("at")))
-    cut = F.aggregate(theirs["_secret_cut"], F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")), step, lambda a: F.array_join(F.array_append(a["out"], F.substring(text, a["at"] + 1, F.length(text))), mark))
-    both = rows.join(theirs, rows[at] == theirs["_secret_at"], "left")
-    return both.select(*(F.when(theirs["_secret_cut"].isNotNull(), cut).otherwise(rows[c]).alias(c) if c == text_col else rows[c] for c in df.columns))
+    cut = F.aggregate(cuts, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")), step, lambda a: F.array_join(F.array_append(a["out"], F.substring(text, a["at"] + 1, F.length(text))), mark))
+    return rows.join(theirs, at, "left").withColumn(text_col, F.when(F.col(cuts).isNotNull(), cut).otherwise(F.col(text_col))).select(*df.columns)
