@@ -211,3 +211,86 @@ def test_client_edits_and_pulls(spark, tmp_path):
 
     assert replay.main(["--dir", str(tmp_path / "a")], spark)[0][1] == "ello World"
     assert EventLog(spark, str(tmp_path / "none")).rows().count() == 0
+
+
+def test_pull_numbers_all_groups_together(spark, tmp_path):
+    a, b = Client(spark, "a", str(tmp_path / "a")), Client(spark, "b", str(tmp_path / "b"))
+    for name in ("d1", "d2"):
+        a.join("s").document(name).insert(0, name)
+    assert b.pull(a.log) == 2 and sorted(r.seq for r in b.log.rows().collect()) == [1, 2]
+
+
+def test_client_follows_a_peer(spark, tmp_path):
+    a, b = Client(spark, "a", str(tmp_path / "a")), Client(spark, "b", str(tmp_path / "b"))
+    a.join("s").document("d").insert(0, "one")
+    link = b.connect(a.log, str(tmp_path / "check"))
+    link.processAllAvailable()
+    a.join("s").document("d").insert(3, " two")
+    link.processAllAvailable()
+    assert b.join("s").document("d").text() == "one two" and b.connect(a.log, str(tmp_path / "check")) is link
+    b.close()
+    assert not link.isActive
+
+
+def test_engine_rotates_snapshots_and_recovers(spark, tmp_path):
+    from tidelog.operators.engine import Engine
+    from tidelog.schema import LogError
+
+    rows = lambda lo, hi: spark.createDataFrame([(f"e{i}", i) for i in range(lo, hi)], "id string, hlc long").repartition(3)
+    at = str(tmp_path / "engine")
+    engine = Engine(spark, at, "id STRING, hlc BIGINT", snapshot_interval=10, retention=2, segment_bytes=1)
+    for lo in range(0, 35, 7):
+        assert engine.append(rows(lo, lo + 7)) == 7
+    assert len(engine.segments()) == 5 and engine.segments() == sorted(engine.segments())
+    assert [r.event_to for r in engine.snapshots().orderBy("id").collect()] == [21, 35] and len(engine.files.names("snapshots")) == 2
+    assert sorted(r.seq for r in engine.log().collect()) == list(range(35))
+    with pytest.raises(LogError):
+        engine.append(spark.createDataFrame([("", 1)], "id string, hlc long"))
+    engine.log_ahead(rows(35, 40))
+    again = Engine(spark, at, "id STRING, hlc BIGINT")
+    assert again.recovered == 5 and again.stats()["events"] == 40 and again.manifest["last_event_id"] == "e39" and len(again.manifest["snapshots"]) == 2
+    assert sorted(r.id for r in again.restore_latest().collect()) == sorted(f"e{i}" for i in range(40))
+    assert sorted(r.seq for r in again.log().collect()) == list(range(40)) and Engine(spark, at, "id STRING, hlc BIGINT").recovered == 0
+    with pytest.raises(LogError):
+        Engine(spark, str(tmp_path / "empty"), "id STRING, hlc BIGINT").restore_latest()
+
+
+def test_segments_sort_by_time_and_are_read_from_an_offset(spark, tmp_path):
+    formats.register(spark)
+    at = str(tmp_path / "wal")
+    for lo in (0, 20):
+        df = spark.createDataFrame([{**EVENT, "id": f"{i:03d}"} for i in range(lo, lo + 20)], formats.LOG.split("BIGINT, ", 1)[1]).coalesce(1)
+        df.write.format("tide_wal").option("segment_bytes", 400).mode("append").save(at)
+    names = formats.files(at, ".wal")
+    assert len(names) > 4 and not [f for f in os.listdir(at) if f.endswith(".tmp")]
+    ids = lambda path, **o: [codec.decode_event(bytes(r.payload))["id"] for r in spark.read.format("tide_wal").options(**o).load(path).orderBy("segment", "offset").collect()]
+    assert ids(at) == [f"{i:03d}" for i in range(40)]
+    first = os.path.getsize(names[0])
+    assert ids(at, start_offset=first) == ids(at)[len(ids(names[0])) :]
+    assert formats.available() == ["tide_frames", "tide_log", "tide_snapshot", "tide_wal"]
+
+
+def test_streams_go_on_over_batches(spark, tmp_path):
+    from tidelog.streaming.queries import materialise
+
+    source, root = str(tmp_path / "in"), str(tmp_path / "stream")
+    for n in (1, 2):
+        spark.createDataFrame([("a", n), ("b", n)], "k string, v long").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k string, v long").parquet(source).groupBy("k").agg(F.sum("v").alias("s"))
+        got = {r.k: r.s for r in materialise(stream, ("k",), root).collect()}
+        assert got == ({"a": 1, "b": 1} if n == 1 else {"a": 3, "b": 3})
+
+
+def test_bloom_of_nulls(spark):
+    items = spark.createDataFrame([("x",), (None,)], "s string")
+    assert {r.s: r.maybe for r in bloom.contains(items, "s", bloom.build(items, "s", 64, 3), 64, 3).collect()} == {"x": True, None: False}
+
+
+def test_web_socket_frames():
+    for n in (0, 125, 126, 65_535, 65_536):
+        data = codec.ws_frame(b"z" * n)
+        assert codec.ws_read(data + b"more") == (1, b"z" * n, len(data))
+    masked = bytes([0x82, 0x83]) + b"abcd" + bytes(x ^ y for x, y in zip(b"hey", b"abc", strict=True))
+    assert codec.ws_read(masked) == (2, b"hey", 9)
+    with pytest.raises(LogError):
+        codec.ws_read(codec.ws_frame(b"abc")[:-1])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.plans import log_queries, other_queries
+from tidelog.plans import log_queries, other_queries, service_queries  # noqa: F401 (service_queries registers with other_queries)
 
 
 def queries() -> dict:

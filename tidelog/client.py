@@ -89,7 +89,7 @@ class Client:
     def __init__(self, spark: SparkSession, node_id: str, path: str, seed: bytes | None = None, clock: Callable[[], int] = time.time_ns):
         self.spark, self.clock, self.seed = spark, clock, seed
         self.node_id = security.identity(seed) if seed else node_id
-        self.log, self._n = EventLog(spark, path), 0
+        self.log, self._n, self.links = EventLog(spark, path), 0, {}
 
     def join(self, session_id: str) -> Session:
         return Session(self, session_id)
@@ -103,17 +103,44 @@ class Client:
         self.log.append([event])
         return event
 
+    def send(self, event: dict) -> dict:
+        """Appends a finished event as this node's."""
+        self.log.append([{**event, "originator": self.node_id}])
+        return event
+
+    def connect(self, peer: EventLog, checkpoint: str, verify: bool = False):
+        """Follows the peer's log: every micro-batch of its new rows is taken over. Returns the streaming query.
+
+        One that has failed goes on from its checkpoint when connect is called again.
+        """
+        old = self.links.get(peer.path)
+        if old is not None and old.isActive:
+            return old
+        stream = self.spark.readStream.schema(ROW).parquet(peer.path)
+        self.links[peer.path] = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: self.take(df, verify)).start()
+        return self.links[peer.path]
+
+    def close(self) -> None:
+        for link in self.links.values():
+            link.stop()
+        self.links.clear()
+
     def pull(self, peer: EventLog, verify: bool = False) -> int:
         """Appends the peer's events that this log lacks; with ``verify`` only if all their signatures hold."""
-        new = sync.events_to_send(peer.rows(), sync.version_vector(self.log.rows())).join(self.log.rows().select("id"), "id", "left_anti")
+        return self.take(peer.rows(), verify)
+
+    def take(self, rows: DataFrame, verify: bool = False) -> int:
+        """Appends those of ``rows`` that this log lacks; their number."""
+        new = sync.events_to_send(rows, sync.version_vector(self.log.rows())).join(self.log.rows().select("id"), "id", "left_anti")
         if verify:
             payload = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in PAYLOAD))
             signed = security.sign_bytes(F.col("id"), F.array().cast("array<string>"), F.col("op"), payload.cast("binary"), F.col("hlc"))
             if not new.filter(~security.ed25519_verify(security.unbase64url(F.col("originator")), signed, F.col("signature"))).isEmpty():
                 raise LogError("an event's signature does not hold")
         start = self.log.rows().agg(F.max("seq")).first()[0] or 0
+        # one pull's events are numbered together: seq is one order over all groups
         before = self.log.rows().count()
-        numbered = new.selectExpr("*", f"{start} + row_number() OVER (PARTITION BY group_id ORDER BY hlc, originator, id) AS _s").drop("seq").withColumnRenamed("_s", "seq")
+        numbered = new.selectExpr("*", f"{start} + row_number() OVER (ORDER BY hlc, originator, id) AS _s").drop("seq").withColumnRenamed("_s", "seq")
         numbered.select(*[f.split()[0] for f in ROW.split(", ")]).write.mode("append").parquet(self.log.path)
         return self.log.rows().count() - before
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.crdt import lww_map
+from tidelog.schema import AGENT_STATES
 
 COMMANDS = {"signup": "start", "click": "pause", "view": "resume", "purchase": "stop", "error": "none"}
 
@@ -57,3 +58,46 @@ def messages(posts: DataFrame) -> DataFrame:
 def duplicates(registered: DataFrame) -> DataFrame:
     """Ids registered more than once; all but the first are refused."""
     return registered.groupBy("agent_id").agg(F.count("*").alias("n")).filter("n > 1").select("agent_id", (F.col("n") - 1).alias("refused"))
+
+
+# --- registry -----------------------------------------------------------------------------------------------------
+
+
+def register(registry: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` agents (agent_id, name) put in as created; an id that is taken is refused."""
+    fresh = new.dropDuplicates(["agent_id"]).join(registry.select("agent_id"), "agent_id", "left_anti")
+    return registry.unionByName(fresh.withColumn("status", F.lit(AGENT_STATES[0])))
+
+
+def spawn(registry: DataFrame, new: DataFrame) -> DataFrame:
+    """Registered and started."""
+    before = registry.select("agent_id", F.lit(True).alias("_old"))
+    both = register(registry, new).join(before, "agent_id", "left")
+    return both.select("agent_id", "name", F.when(F.col("_old").isNull(), AGENT_STATES[1]).otherwise(F.col("status")).alias("status"))
+
+
+def unregister(registry: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The registry without the agents of ``gone``, and those ids that it does not have."""
+    return registry.join(gone.select("agent_id"), "agent_id", "left_anti"), gone.select("agent_id").join(registry.select("agent_id"), "agent_id", "left_anti")
+
+
+def get(registry: DataFrame, agent_id: str) -> DataFrame:
+    return registry.filter(F.col("agent_id") == agent_id)
+
+
+def list_by_status(registry: DataFrame, status: str) -> DataFrame:
+    return registry.filter(F.col("status") == status)
+
+
+def count(registry: DataFrame) -> DataFrame:
+    return registry.agg(F.count("*").alias("n"))
+
+
+def metadata(writes: DataFrame) -> DataFrame:
+    """(agent_id, key, value): the last written value of each key."""
+    return writes.groupBy("agent_id", "key").agg(F.max_by("value", "seq").alias("value"))
+
+
+def send(sender: str, board: str, content: Column, seq: Column) -> Column:
+    """A post on ``board`` by ``sender``."""
+    return F.struct(F.lit(board).alias("board"), seq.alias("seq"), F.lit(sender).alias("sender"), content.alias("content"))

@@ -33,7 +33,7 @@ def indexes(data: bytes, bits: int, k: int) -> list[int]:
 
 def _places(bits: int, k: int):
     def places(s):
-        return s.map(lambda x: indexes(x.encode(), bits, k))
+        return s.map(lambda x: None if x is None else indexes(x.encode(), bits, k))
 
     return F.pandas_udf(places, "array<bigint>")
 
@@ -53,8 +53,8 @@ def merge(*filters: DataFrame) -> DataFrame:
 
 
 def contains(items: DataFrame, column: str, words: DataFrame, bits: int, k: int) -> DataFrame:
-    """``items`` with ``maybe``: whether all bits of the item are set. No word leaves its partition unasked."""
-    at = items.withColumn("_item", F.monotonically_increasing_id()).withColumn("_at", F.explode(_places(bits, k)(F.col(column).cast("string"))))
+    """``items`` with ``maybe``: whether all bits of the item are set; false for a null, which is never put in."""
+    at = items.withColumn("_item", F.monotonically_increasing_id()).withColumn("_at", F.explode_outer(_places(bits, k)(F.col(column).cast("string"))))
     at = at.withColumn("word", F.floor(F.col("_at") / 64)).join(words, "word", "left")
     bit = F.get(F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64))), (F.col("_at") % 64).cast("int"))
     return at.groupBy("_item", *items.columns).agg(F.bool_and(F.coalesce(F.col("value").bitwiseAND(bit) != 0, F.lit(False))).alias("maybe")).drop("_item")
@@ -66,6 +66,11 @@ def estimate(words: DataFrame, bits: int, k: int) -> DataFrame:
     return words.agg(n.alias("items")).withColumn("false_positive_rate", F.pow(1 - F.exp(-k * F.col("items") / bits), F.lit(k)))
 
 
+def count(items: DataFrame, column: str) -> DataFrame:
+    """Items put in, repeated ones counted."""
+    return items.agg(F.count(column).alias("items"))
+
+
 def serialize(words: dict[int, int], bits: int, k: int) -> bytes:
     """Little-endian k, bits and number of words, then the words."""
     n = -(-bits // 64)

@@ -20,6 +20,12 @@ def lww_register(log: DataFrame, by: Iterable[str], value: str = "value", order:
     return log.groupBy(*by).agg(F.max_by(value, stamp(order)).alias("value"))
 
 
+def since_reset(log: DataFrame, by: str, reset: Column) -> DataFrame:
+    """The rows after each register's last reset; a register that was only reset has none."""
+    last = log.groupBy(by).agg(F.max(F.when(reset, F.col("seq"))).alias("_reset"))
+    return log.join(last, by).filter(F.col("_reset").isNull() | (F.col("seq") > F.col("_reset"))).drop("_reset")
+
+
 def lww_map(log: DataFrame, order: str = "clock") -> DataFrame:
     """(group_id, key, value): a row for each key that was ever set; a deleted one has no value."""
     value = F.when(F.col("op") == "map_set", F.col("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Upper bounds of the default histogram, in seconds.
@@ -23,3 +23,19 @@ def histogram(values: DataFrame, column: str, buckets=BUCKETS) -> DataFrame:
 def exposition(counters: DataFrame, name: str) -> DataFrame:
     """Counters (event_type, originator, n) as lines of text."""
     return counters.select(F.format_string(name + '{type="%s",node="%s"} %d', "event_type", "originator", "n").alias("line"))
+
+
+def created_applied(log: DataFrame, node_id: str) -> DataFrame:
+    """(label, node, created, applied): events that ``node_id`` made and those it took over, by label."""
+    own = F.col("originator") == node_id
+    return log.groupBy(F.col("op").alias("label")).agg(F.lit(node_id).alias("node"), F.count_if(own).alias("created"), F.count_if(~own).alias("applied"))
+
+
+def snapshots_taken(snapshots: DataFrame) -> DataFrame:
+    return snapshots.agg(F.count("*").alias("snapshots"), F.max("event_to").alias("events"))
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df``, and what is counted while its rows go by: no pass of its own."""
+    seen = Observation(name)
+    return df.observe(seen, *(m.alias(k) for k, m in metrics.items())), seen

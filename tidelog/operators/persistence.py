@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.schema import NO_SNAPSHOT
+from tidelog.schema import NO_SNAPSHOT, SNAPSHOT_META  # noqa: F401 (part of this module's interface)
 
 RETENTION = 5
 
@@ -39,7 +39,8 @@ def retained(snapshots: DataFrame, keep: int = RETENTION) -> DataFrame:
 
 
 def write_snapshot(log: DataFrame, path: str, upto: int, codec: str = "zstd") -> None:
-    log.filter(F.col("seq") <= upto).write.option("compression", codec).parquet(f"{path}/snap-{upto:020d}")
+    """The first ``upto`` rows of a log whose seq starts at 0."""
+    log.filter(F.col("seq") < upto).write.option("compression", codec).parquet(path)
 
 
 def restore_latest(log: DataFrame, snapshots: DataFrame, strict: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,27 @@ def decrypt_from(rows: DataFrame, sessions: DataFrame, payload: str) -> DataFram
     """The inverse, as binary; null where the key is not the one it was encrypted with."""
     keyed = rows.join(sessions.select("peer_id", F.col("key").alias("_key")), "peer_id")
     return keyed.withColumn(payload, F.try_aes_decrypt(F.col(payload), F.col("_key"), F.lit("GCM"))).drop("_key")
+
+
+def from_handshake(sessions: DataFrame, hellos: DataFrame, private: bytes, now: int) -> DataFrame:
+    """``sessions`` with those agreed on with the public keys of ``hellos`` (peer_id, public): X25519, hashed to a key.
+
+    The agreement is reckoned in Python, one for each peer. A public key of another length is left out.
+    """
+    agree = F.pandas_udf(lambda s: s.map(lambda p: hashlib.sha256(security.x25519(private, bytes(p))).digest()), "binary")
+    good = hellos.filter(F.length("public") == 32)
+    return establish(sessions, good.select("peer_id", agree("public").alias("key"), F.lit(now).cast("long").alias("created")))
+
+
+def remove(sessions: DataFrame, gone: DataFrame) -> DataFrame:
+    return sessions.join(gone.select("peer_id"), "peer_id", "left_anti")
+
+
+def has(sessions: DataFrame, peers: DataFrame) -> DataFrame:
+    """(peer_id, has) for each of ``peers``."""
+    known = sessions.select("peer_id", F.lit(True).alias("_has")).distinct()
+    return peers.select("peer_id").distinct().join(known, "peer_id", "left").select("peer_id", F.coalesce("_has", F.lit(False)).alias("has"))
+
+
+def active(sessions: DataFrame) -> DataFrame:
+    return sessions.select("peer_id").distinct()

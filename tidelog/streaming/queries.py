@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidelog import fixtures
 from tidelog.operators import crdt, sync
+from tidelog.sources.shared import folder
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def materialise(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream to its present end and gives its result table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def materialise(stream: DataFrame, keys: tuple[str, ...] = (), root: str | None = None) -> DataFrame:
+    """Runs a stream to its present end and gives its result table.
+
+    Every batch is written to a table in a shared folder, and one that is done again replaces itself; the
+    checkpoint is beside it, so a run with the same ``root`` goes on where the last ended. Without keys the batches are whole
+    results and the newest counts; with keys they are changes, and each key's newest row counts.
+    """
+    spark, root = stream.sparkSession, root or folder(stream.sparkSession)
+    query = (stream.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", f"{root}/checkpoint")
+             .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")).trigger(availableNow=True).start())
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{root}/out")
+    if not keys:
+        return out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
+    newest = out.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in stream.columns if c not in keys)), "batch").alias("_v"))
+    return newest.select(*keys, "_v.*").select(*stream.columns)
 
 
 def lww_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +69,10 @@ def text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     out = stream.groupBy("conv_id").applyInPandasWithState(edit, "conv_id long, text string", "text string", "update", "NoTimeout")
-    return materialise(out, "update")
+    return materialise(out, ("conv_id",))
+
+
+def board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A board's subscription: each key that was set, once, however often its event arrives."""
+    log = fixtures.as_log(read_table(spark, sf_dir, "events")).filter("op = 'map_set'")
+    return materialise(log.groupBy("group_id", "key").agg(F.min("seq").alias("seq")), ("group_id", "key"))
