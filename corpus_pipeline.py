@@ -1,6 +1,9 @@
 """From raw documents to packed training bins: five stages, each writing what it keeps.
 
-Every stage but the last returns the columns of ``documents``.
+Every stage but the last returns the columns of ``documents``; values of columns that a stage does not work on stay as
+they are, extra columns too, whatever their names. A null or empty text is kept by the filtering stages, has no
+secrets, is never mixed in (no words) and packs as length 0; very long texts are taken whole; repeated rows are
+rejected, kept and packed alike, but near-dedup keeps one of them; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ STAGES = [
     ("best_fit_packing", pack_bins),
 ]
 
-#: SQL can express neither the classifier nor the sampling; tests hold each stage against brute force.
+#: SQL can express neither the classifier nor the sampling. Tests hold each stage to what must be true of its rows.
 ORACLE_SQL = None
 
 
