@@ -55,17 +55,19 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return out
 
 
-def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None) -> DataFrame:
+def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, words: Column | None = None) -> DataFrame:
     """A row for each piece of each document: id_col, n_tokens, piece, start, length, bin, position.
 
     start and length count words of the document; bin is unique over all, position the place in it.
     cluster: column of ``df`` that names a row's duplicate cluster; by default equal texts are one.
+    words: column of ``df`` with the number of words of each row, for a ``df`` without texts; null is 0.
     """
     scratch = Scratch(df.sparkSession)
-    cluster = F.xxhash64(df[text_col]) if cluster is None else cluster
+    if words is None:
+        words = n_words(text_of(df[text_col]))
+        cluster = F.when(df[text_col].isNotNull(), (F.xxhash64(df[text_col]) if cluster is None else cluster).cast("string"))
     rows = scratch.save(df.select(
-        df[id_col].alias("_id"), df[source_col].cast("string").alias("source"), F.when(df[text_col].isNotNull(), cluster.cast("string")).alias("cluster"),
-        n_words(text_of(df[text_col])).alias("n")).withColumn("_row", F.monotonically_increasing_id()))
+        df[id_col].alias("_id"), df[source_col].cast("string").alias("source"), (F.lit(None) if cluster is None else cluster).cast("string").alias("cluster"), F.coalesce(words, F.lit(0)).cast("long").alias("n")).withColumn("_row", F.monotonically_increasing_id()))
     groups = max(1, -(-rows.count() // GROUP))
     rows = rows.withColumn("_group", F.pmod(F.xxhash64("_id", "n", "_row"), F.lit(groups)))
 
