@@ -570,3 +570,23 @@ def test_urls_of_names_not_in_the_table():
     held = [(k, y) for k, y in urls.labelled(seed=99, rows=1500) if k.split("/")[0] not in seen]
     said = [(y, urls.says(k) >= 0) for k, y in held]
     assert np.mean([s for y, s in said if y]) >= 0.9 and np.mean([s for y, s in said if not y]) <= 0.01
+
+
+def test_shingle_sets_of_many_texts_are_those_of_each(monkeypatch):
+    r = random.Random(3)
+    texts = [None, "", " \n", "a", "A b c", *(" ".join(r.choice("abcd") for _ in range(n)) for n in (4, 5, 6, 300, 1, 40)), "x"]
+    for at_once in (1, 50, 1 << 16):
+        monkeypatch.setattr(neardup, "WORDS_AT_ONCE", at_once)
+        for k in (1, 4, 5):
+            got = list(neardup.shingle_sets(texts, k, neardup._WordHashes()))
+            assert [w for w, _ in got] == [neardup.words(t) for t in texts]
+            assert [len(x) for _, x in got] == [len(neardup.shingles(t, k)) for t in texts]
+            assert all((x == list(neardup.shingle_sets([t], k, neardup._WordHashes()))[0][1]).all() for t, (_, x) in zip(texts, got, strict=True))
+
+
+def test_packing_of_counts_is_that_of_texts(spark):
+    docs = documents(spark, ["a b c", "a b c", None, "", "d " * 70, "e"], sources=("a", "b", None))
+    counts = docs.select("doc_id", "source", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("c"), F.size(F.filter(F.split("text", " "), lambda w: w != "")).alias("w"))
+    counts = counts.withColumn("w", F.when(F.col("w") >= 0, F.col("w")))
+    rows = lambda df: sorted((x.doc_id, x.n_tokens, x.piece, x.start, x.length) for x in df.collect())
+    assert rows(packing.pack(docs, capacity=32)) == rows(packing.pack(counts, capacity=32, cluster=F.col("c"), words=F.col("w")))

@@ -17,6 +17,8 @@ table; further columns are ignored, in ``deduplicate`` they stay, whatever their
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,8 +38,8 @@ AGREE = 0.62
 BLOCK, BLOCK_HASHES = 512, 400_000
 
 _rng = np.random.default_rng(7)
-_A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MIX = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -68,21 +70,64 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(w: list[bytes], k: int, known: dict) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles of the words ``w``."""
-    h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-    k = min(k, len(w))
-    out = np.zeros(len(w) - k + 1, np.uint64)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
+def _shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for i in range(k):
-        out = _mixed(out + h[i : len(w) - k + 1 + i]) * _MIX[i]
-    return np.unique(out)
+        out = _mixed(out + h[i : len(out) + i]) * _MIX[i]
+    return out
+
+
+#: Words hashed together.
+WORDS_AT_ONCE = 1 << 16
+
+
+def _sets(texts: list[list[bytes]], k: int, known: dict):
+    total = sum(map(len, texts))
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.uint64, total)
+    # over all texts at once: what begins in one and ends in the next is passed over
+    windows, at = _shingle_hashes(h, k), 0
+    for w in texts:
+        yield w, _distinct(windows[at : at + len(w) - k + 1] if len(w) >= k else _shingle_hashes(h[at : at + len(w)], len(w)) if w else windows[:0])
+        at += len(w)
+
+
+def shingle_sets(texts, k: int, known: dict):
+    """(words, distinct 64-bit hashes of the shingles) of each text, in their order."""
+    some, size = [], 0
+    for text in texts:
+        some.append(words(text))
+        size += len(some[-1])
+        if size >= WORDS_AT_ONCE:
+            yield from _sets(some, k, known)
+            some, size = [], 0
+    yield from _sets(some, k, known)
 
 
 def minima(x: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    """The least values of the universal hashes a x + b of the upper halves of ``x``."""
+    x = (x >> np.uint64(32)).astype(np.uint32)
+    out = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(x), 512):
-        out = np.minimum(out, (x[at : at + 512, None] * _A + _B).min(axis=0))
-    return (out >> np.uint64(32)).astype(np.uint32)
+        y = x[at : at + 512, None] * _A
+        y += _B
+        np.minimum(out, y.min(axis=0), out=out)
+    return out
+
+
+def _bands(sigs: np.ndarray) -> np.ndarray:
+    """The band hashes of each row of signatures."""
+    wide = sigs.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(wide), 1))
+    for j in range(ROWS):
+        out = _mixed(out * _MIX[j + 8] + wide[:, :, j])
+    return out.view(np.int64)
 
 
 #: Texts whose sets are in memory at once in a Python worker.
@@ -100,23 +145,16 @@ def _signed(k: int):
     def sign(batches):
         known = _WordHashes()
         for batch in _pieces(batches):
-            sizes, same, sigs, bands = [], [], [], []
-            for text in batch.column("text"):
-                w = words(text.as_py())
-                if not w:
-                    for out, v in ((sizes, 0), (same, None), (sigs, None), (bands, None)):
-                        out.append(v)
-                    continue
-                x = shingle_hashes(w, k, known)
-                sig = minima(x)
-                wide = sig.astype(np.uint64).reshape(BANDS, ROWS)
-                band = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for j in range(ROWS):
-                    band = _mixed(band * _MIX[j + 8] + wide[:, j])
+            sizes, same, sigs = [], [], []
+            for w, x in shingle_sets((t.as_py() for t in batch.column("text")), k, known):
                 sizes.append(len(x))
-                same.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                sigs.append(sig.tobytes())
-                bands.append(band.view(np.int64))
+                same.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
+                if w:
+                    sigs.append(minima(x))
+            sigs = np.array(sigs, np.uint32).reshape(-1, HASHES)
+            rows = iter(zip(sigs, _bands(sigs), strict=True))
+            signed = [next(rows) if n else (None, None) for n in sizes]
+            sigs, bands = [s if s is None else s.tobytes() for s, _ in signed], [b for _, b in signed]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_row"), batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 ["_row", "_id", "n", "same", "sig", "bands"])
@@ -184,7 +222,7 @@ def _hashes(k: int, wide: bool):
     def hashes(batches):
         known = _WordHashes()
         for pdf in batches:
-            sets = [shingle_hashes(words(t), k, known) for t in pdf["text"]]
+            sets = [x for _, x in shingle_sets(pdf["text"], k, known)]
             short = sets if wide else [np.unique((x >> np.uint64(32)).astype(np.uint32)) for x in sets]
             yield pd.DataFrame({"_row": pdf["_row"], "n": [len(x) for x in sets], "h": [x.tobytes() for x in short]})
 
