@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -590,3 +592,14 @@ def test_packing_of_counts_is_that_of_texts(spark):
     counts = counts.withColumn("w", F.when(F.col("w") >= 0, F.col("w")))
     rows = lambda df: sorted((x.doc_id, x.n_tokens, x.piece, x.start, x.length) for x in df.collect())
     assert rows(packing.pack(docs, capacity=32)) == rows(packing.pack(counts, capacity=32, cluster=F.col("c"), words=F.col("w")))
+
+
+def test_shuffles_of_a_saved_table_are_removed(spark):
+    dirs = [Path(str(d)) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in dirs for p in d.rglob("shuffle_*.data")}
+    before = files()
+    saved = Scratch(spark).save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and sorted(r["count"] for r in saved.collect()) == [142, 143, 143, 143, 143, 143, 143]
