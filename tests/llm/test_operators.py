@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import fingerprint, graph, mixing, neardup, neighbours, packing, pii, secrets, sharding, toxicity, urls
-from tidelog.llm.common import Scratch
+from tidelog.llm.common import Scratch, setting
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -603,3 +603,22 @@ def test_shuffles_of_a_saved_table_are_removed(spark):
     while files() - before and time.time() < until:
         time.sleep(0.1)
     assert not files() - before and sorted(r["count"] for r in saved.collect()) == [142, 143, 143, 143, 143, 143, 143]
+
+
+def shuffled_bytes(spark) -> int:
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum({stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}.values())
+
+
+def test_rows_without_copies_are_not_shuffled_to_find_their_class(spark):
+    r = random.Random(5)
+    t = [" ".join(f"{r.choice(WORDS)}{r.randint(0, 999)}" for _ in range(30)) for _ in range(1000)]
+    docs = Scratch(spark).save(documents(spark, t + t[:20]))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        before = shuffled_bytes(spark)
+        got = neardup.near_duplicates(docs)
+        moved = shuffled_bytes(spark) - before
+    assert {(x.doc_id, x.component_id) for x in got.collect()} == {(i, i % 1000) for i in range(1020)}
+    assert moved < 1100 * 1020, moved

@@ -192,30 +192,41 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, percent: int, scratch: Scratch)
     return scratch.save(pairs.filter(F.pandas_udf(_alike, "boolean")("su", "sv")).select("u", "v"), narrow=True)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are links on their full sets."""
-    text = lambda c, t: texts.select(F.col("_row").alias(c), F.col("text").alias(t))
-    both = pairs.join(text("u", "ta"), "u").join(text("v", "tb"), "v").select("u", "v", "ta", "tb")
-    return both.mapInPandas(_confirm(k, percent), "u long, v long")
-
-
-#: Bits of a sketch of row numbers, in bitmaps of 32768: 8 MB at most, whatever the input.
+#: Bits of a sketch of keys, in bitmaps of 32768: 8 MB at most, whatever the input.
 SKETCH_BITS = 1 << 26
 
 
-def _row_sketch(rows: DataFrame) -> DataFrame:
-    """A bitmap of the hashes of _row: (part, bits)."""
-    at = rows.select(F.pmod(F.xxhash64("_row"), F.lit(SKETCH_BITS)).alias("at"))
+def _sketch(rows: DataFrame, key: str = "_row") -> DataFrame:
+    """A bitmap of the hashes of a key: (part, bits)."""
+    at = rows.select(F.pmod(F.xxhash64(key), F.lit(SKETCH_BITS)).alias("at"))
     return at.groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg((F.col("at") % 32768)).alias("bits"))
 
 
-def _sketched(rows: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The rows whose _row is in the sketch, and a few others: what is not wanted need not be shuffled."""
-    at = F.pmod(F.xxhash64("_row"), F.lit(SKETCH_BITS))
+def _sketched(rows: DataFrame, sketch: DataFrame, key: str = "_row", within: bool = True) -> DataFrame:
+    """The rows whose key is in the sketch, and a few others: what is not wanted need not be shuffled. within: or else the rest."""
+    at = F.pmod(F.xxhash64(key), F.lit(SKETCH_BITS))
     byte = F.conv(F.hex(F.expr("substring(bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     # broadcast: SKETCH_BITS bits at most
-    found = rows.withColumn("part", F.floor(at / 32768)).withColumn("_bit", (at % 32768).cast("int")).join(F.broadcast(sketch), "part")
-    return found.filter(F.get(F.array(*(F.lit(1 << i) for i in range(8))), F.col("_bit") % 8).bitwiseAND(byte) != 0).select(*rows.columns)
+    found = rows.withColumn("part", F.floor(at / 32768)).withColumn("_bit", (at % 32768).cast("int")).join(F.broadcast(sketch), "part", "inner" if within else "left")
+    bit = F.get(F.array(*(F.lit(1 << i) for i in range(8))), F.col("_bit") % 8).bitwiseAND(byte)
+    return found.filter(bit != 0 if within else F.coalesce(bit, F.lit(0)) == 0).select(*rows.columns)
+
+
+def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) that are links on their full sets."""
+    texts = _sketched(texts, _sketch(pairs.select(F.explode(F.array("u", "v")).alias("_row"))))
+    text = lambda c, t: texts.select(F.col("_row").alias(c), F.col("text").alias(t))
+    both = pairs.join(text("u", "ta"), "u").join(text("v", "tb"), "v").select("u", "v", "ta", "tb")
+    return both.mapInPandas(_confirm(k, percent), "u long, v long")
+
+
+def _first_rows(signed: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``signed`` that stand for their class. Only those that may have copies are shuffled to find out."""
+    signed = signed.filter("n > 0")
+    copied = scratch.save(_sketch(classes.filter("c > 1"), "same"), narrow=True)
+    # an inner join, as _class is distinct: a semi join would be pushed below the sketch
+    firsts = _sketched(signed, copied, "same").join(classes.select(F.col("_class").alias("_row")), "_row").select(*signed.columns)
+    return _sketched(signed, copied, "same", within=False).unionByName(scratch.save(firsts))
 
 
 def _hashes(k: int, wide: bool):
@@ -309,7 +320,7 @@ def _open_buckets(members: DataFrame, links: DataFrame, texts: DataFrame, k: int
     several = several.groupBy("c", "h", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("h") / BLOCK_HASHES)).cast("int").alias("nb"))
     open_ = scratch.save(placed.drop("n").join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("_row"), "nb").cast("int")))
     scratch.drop(placed)
-    hashed = scratch.save(_sketched(texts, _row_sketch(open_.select("_row"))).mapInPandas(_hashes(k, wide), "_row long, n long, h binary"))
+    hashed = scratch.save(_sketched(texts, _sketch(open_)).mapInPandas(_hashes(k, wide), "_row long, n long, h binary"))
     spread = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).join(hashed, "_row")
     spread = spread.select("bucket", F.least("own", "o").alias("bi"), F.greatest("own", "o").alias("bj"), "own", "_row", "comp", "n", "h")
     spread = spread.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "_row")
@@ -333,12 +344,14 @@ def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_
     signed = scratch.save(rows.select("_row", "_id", "text").mapInArrow(_signed(k), f"_row long, _id {kind}, n long, same binary, sig binary, bands array<long>"))
     # the least id; where all are null, the first row stands for the class
     least = [F.min("_id").alias("_least"), F.min(F.when(F.col("_id").isNull(), F.col("_row"))).alias("_unnamed")]
-    classes = scratch.save(signed.filter("n > 0").groupBy("same").agg(F.min("_row").alias("_class"), *least))
-    members = signed.select("_row", "n", "bands").join(classes.select("_class"), F.col("_row") == F.col("_class"), "left_semi").select("_row", "n", F.explode("bands").alias("bucket"))
+    classes = scratch.save(signed.filter("n > 0").groupBy("same").agg(F.min("_row").alias("_class"), F.count("*").alias("c"), *least))
+    members = _first_rows(signed.select("_row", "n", "same", "bands"), classes, scratch).select("_row", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("_row").alias("lead"), F.count("*").alias("c")).filter("c > 1").select("bucket", "lead")
     members = scratch.save(members.join(shared, "bucket"))
-    sketch = scratch.save(_row_sketch(members.select("_row")), narrow=True)
+    sketch = scratch.save(_sketch(members), narrow=True)
     texts = scratch.save(_sketched(rows.select("_row", "text"), sketch))
+    if not row_col:
+        scratch.drop(rows)
     sigs = scratch.save(_sketched(signed.select("_row", "n", "sig"), sketch))
     pairs = members.filter("_row > lead").select(F.col("lead").alias("u"), F.col("_row").alias("v")).distinct()
     links = components(_links(_agreeing(pairs, sigs, percent, scratch), texts, k, percent), scratch)
