@@ -177,6 +177,34 @@ def test_security(spark, tmp_path):
     assert all(r.x == r.b for r in df.select("b", security.unbase64url(F.col("t")).alias("x")).collect())
 
 
+def test_curves_of_many_rows_are_those_of_each(spark):
+    """One key in many rows and keys in few, damaged and odd signatures, points of the curve, its twist and small order."""
+    import random
+
+    from tidelog.functions import curve
+
+    r = random.Random(5)
+    seed, other = bytes(range(32)), bytes(32)
+    pub, n = security.public_key(seed), curve.OFTEN + 7
+    texts = [r.randbytes(r.randrange(70)) for _ in range(n)]
+    signed = curve.sign_all(seed, [*texts, None])
+    assert signed[-1] is None and signed[:9] == [security.sign(seed, t) for t in texts[:9]]
+    flip = lambda s, i, b=1: s[:i] + bytes([s[i] ^ b]) + s[i + 1 :]
+    odd = [flip(signed[0], 0), flip(signed[1], 31, 128), flip(signed[2], 40), signed[3][:32] + (int.from_bytes(signed[3][32:], "little") + security.ORDER).to_bytes(32, "little"),
+           (security.P + 1).to_bytes(32, "little") + signed[4][32:], (1).to_bytes(32, "little") + bytes(32), b"", None]
+    rows = [(pub, t, s) for t, s in zip(texts, odd + signed[len(odd) : n], strict=True)]
+    rows += [(security.public_key(other), b"x", security.sign(other, b"x")), (b"short", b"x", signed[0]), (None, b"x", signed[0]), (pub, None, signed[0]), (b"\xff" * 32, b"x", signed[0])]
+    want = [security.verify(*row) for row in rows]
+    assert curve.verify_all(*map(list, zip(*rows, strict=True))) == want and sum(want) == n - len(odd) + 1
+    for u in (9, 0, 1, security.P - 1, security.P + 3, r.getrandbits(255), r.getrandbits(255), r.getrandbits(256)):
+        scalars, us = [r.randbytes(32) for _ in range(curve.OFTEN)], [u.to_bytes(32, "little")] * curve.OFTEN
+        expected = [security.x25519(k, us[0]) for k in scalars[:12]]
+        assert curve.x25519_all(scalars, us)[:12] == expected == curve.x25519_all(scalars[:12], us[:12])
+    df = security.spread(spark.createDataFrame([(bytearray(32), bytearray(b"\t" + bytes(31))), (None, bytearray(32)), (bytearray(3), bytearray(32))], "k binary, u binary").coalesce(1))
+    got = df.select("k", security.x25519_agree(F.col("k"), F.col("u")).alias("x"), F.spark_partition_id().alias("p")).collect()
+    assert df.rdd.getNumPartitions() > 1 and [x.x for x in got if x.k and len(x.k) == 32] == [security.x25519(bytes(32), b"\t" + bytes(31))] and sum(x.x is None for x in got) == 2
+
+
 def test_sessions(spark):
     old = spark.createDataFrame([("a", bytearray(32), 0), ("b", bytearray(b"k" * 32), 50)], "peer_id string, key binary, created long")
     new = spark.createDataFrame([("a", bytearray(b"n" * 32), 90)], "peer_id string, key binary, created long")
