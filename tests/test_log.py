@@ -205,6 +205,14 @@ def test_curves_of_many_rows_are_those_of_each(spark):
     assert df.rdd.getNumPartitions() > 1 and [x.x for x in got if x.k and len(x.k) == 32] == [security.x25519(bytes(32), b"\t" + bytes(31))] and sum(x.x is None for x in got) == 2
 
 
+def test_first_failure_checks_signatures_once(spark):
+    rows = spark.createDataFrame([(3, bytearray(b"m"), bytearray(b"s" * 64)), (1, bytearray(b"m"), None), (0, bytearray(b"m"), bytearray(security.sign(bytes(32), b"m")))], "seq long, m binary, s binary")
+    key = F.lit(bytearray(security.public_key(bytes(32))))
+    first = lambda df: security.first_failure(df.select("seq", security.wrong_signature(key, F.col("m"), F.col("s")).alias("reason")))
+    assert tuple(first(rows).first()) == (1, "no signature", 2) and tuple(first(rows.filter("seq = 0")).first()) == (None, None, 0)
+    assert first(rows)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_sessions(spark):
     old = spark.createDataFrame([("a", bytearray(32), 0), ("b", bytearray(b"k" * 32), 50)], "peer_id string, key binary, created long")
     new = spark.createDataFrame([("a", bytearray(b"n" * 32), 90)], "peer_id string, key binary, created long")
