@@ -291,6 +291,28 @@ def test_engine_rotates_snapshots_and_recovers(spark, tmp_path):
         Engine(spark, str(tmp_path / "empty"), "id STRING, hlc BIGINT").restore_latest()
 
 
+def test_recovery_and_numbering_sort_nothing_in_one_task(spark, tmp_path, monkeypatch):
+    """A crash that left many rows: they are numbered in the order of segment, clock and place, without a window over rows."""
+    from tidelog.operators import engine as module
+
+    plans, numbered = [], module.numbered
+    monkeypatch.setattr(module, "numbered", lambda rows, start: (plans.append((rows, numbered(rows, start))), plans[-1][1])[1])
+    rows = lambda lo, hi: spark.range(lo, hi, 1, 3).select(F.concat(F.lit("e"), "id").alias("id"), (F.col("id") * 7 % 1000).alias("hlc"))
+    at = str(tmp_path / "engine")
+    engine = module.Engine(spark, at, "id STRING, hlc BIGINT", segment_bytes=1)
+    engine.append(rows(0, 500))
+    engine.log_ahead(rows(500, 1500))
+    engine.log_ahead(rows(1400, 2000))
+    again = module.Engine(spark, at, "id STRING, hlc BIGINT")
+    got = again.log().orderBy("seq").collect()
+    assert again.recovered == 1500 and [r.seq for r in got] == list(range(2000)) and [r.id for r in got[:500]] == [f"e{i}" for i in range(500)]
+    first, second = sorted(range(500, 1500), key=lambda i: (i * 7 % 1000, i)), sorted(range(1500, 2000), key=lambda i: (i * 7 % 1000, i))
+    assert [r.id for r in got[500:]] == [f"e{i}" for i in first + second] and not [n for n in os.listdir(at) if n.startswith("recovered")]
+    for given, plan in plans:
+        tree = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert tree.count("Window [") == 1 and "row_number" not in tree and "row_number" not in given._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_segments_sort_by_time_and_are_read_from_an_offset(spark, tmp_path):
     formats.register(spark)
     at = str(tmp_path / "wal")
