@@ -91,6 +91,32 @@ def test_rga_merge_is_symmetric(spark):
     assert texts == {"Hi"}
 
 
+def test_runs_are_merged_like_their_nodes(spark, monkeypatch):
+    """Overlapping runs of three states, repeated ids and null, wide characters, texts cut off at every batch; no node is a row of the shuffle."""
+    import random
+
+    from tidelog.operators import runs
+
+    r, rows = random.Random(3), []
+    for doc in (5, None, 2**62, -1, 7, 7):
+        for _ in range(4):
+            chars = "".join(r.choice("ab\u00e9\U0001f600\n0") for _ in range(r.randrange(9)))
+            rows.append((doc, r.choice("ab\u00e9"), r.randrange(4), r.randrange(1, 3), chars, r.choice([None, "".join(r.choice("01") for _ in chars)])))
+    rows.append((8, "a", 1, 1, "xy", "11"))
+    node = [(d, f + s * i, n, c, bool(g) and g[i] == "1") for d, n, f, s, chars, g in rows for i, c in enumerate(chars)]
+    state = crdt.rga_merge(spark.createDataFrame(node, "doc_id long, ts long, node string, ch string, removed boolean"))
+    of = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    packed = spark.createDataFrame(rows, f"doc_id long, {runs.SCHEMA}")
+    for chars in (1, runs.CHARS):
+        monkeypatch.setattr(runs, "CHARS", chars)
+        assert of(runs.nodes(packed)) == of(crdt.rga_compact(state).select("doc_id", "ts", "node", "ch", "removed")) and of(runs.texts(packed)) == of(crdt.rga_text(state))
+    assert runs.nodes(packed.limit(0)).count() == runs.texts(packed.limit(0)).count() == 0
+    from tidelog.plans import log_queries
+
+    plan = log_queries.QUERIES["rga_compact"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "Aggregate" not in plan
+
+
 def test_formats(spark, tmp_path):
     formats.register(spark)
     two = codec.frame(EVENT) + codec.frame({**EVENT, "id": "b", "hlc": -1})
