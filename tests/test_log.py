@@ -117,6 +117,25 @@ def test_runs_are_merged_like_their_nodes(spark, monkeypatch):
     assert "posexplode" not in plan and "Aggregate" not in plan
 
 
+def test_runs_are_made_where_texts_have_met(spark, tmp_path):
+    """The shuffle takes each text once, not with each of its runs; rows of one id, in several files, are still one text."""
+    import os
+
+    from oracle import SF, TABLES, compare
+
+    from tidelog.plans import log_queries
+
+    for t in TABLES:
+        if t != "documents":
+            os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    docs = [(1, "first text"), (2, "ab\u00e9\n" * 9), (3, ""), (4, None), (1, "FIRST text, longer"), (5, "x" * 70_000), (None, "no id"), (2, "zzz"), (None, "none")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("rga_state_merge", "rga_compact"):
+        assert compare(spark, log_queries.QUERIES[name], log_queries.SQL[name], str(tmp_path)) > 0
+        plan = log_queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == 1 and plan.index("Generate") < plan.index("RepartitionByExpression")
+
+
 def test_formats(spark, tmp_path):
     formats.register(spark)
     two = codec.frame(EVENT) + codec.frame({**EVENT, "id": "b", "hlc": -1})

@@ -2,7 +2,8 @@
 first + step, ... with a character each; removed is null (none is) or has 0 or 1 for each character.
 
 A node as a row takes some ten times its character's bytes in a shuffle; a run takes little more than its text. Runs of a text meet in
-one task and are merged there, many texts at a time; a text must fit a task's memory.
+one task and are merged there, many texts at a time; a text must fit a task's memory. Where runs are made of a table's rows,
+these are brought together first (``together``): they are less than what is made of them.
 """
 
 from __future__ import annotations
@@ -89,13 +90,21 @@ def _whole_texts(batches: Iterator) -> Iterator:
         yield pa.Table.from_batches(held)
 
 
-def _together(runs: DataFrame) -> DataFrame:
-    """All runs of a text one after the other."""
-    return runs.select("doc_id", *(f.split()[0] for f in SCHEMA.split(", "))).repartition("doc_id").sortWithinPartitions("doc_id")
+def together(rows: DataFrame) -> DataFrame:
+    """All rows of a text, by doc_id, one after the other in one task."""
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id")
 
 
-def texts(runs: DataFrame) -> DataFrame:
-    """(doc_id, text, length) of the live nodes in the order of tick and name; a text without any has no row."""
+def _dealt(runs: DataFrame, met: bool) -> DataFrame:
+    runs = runs.select("doc_id", *(f.split()[0] for f in SCHEMA.split(", ")))
+    return runs if met else together(runs)
+
+
+def texts(runs: DataFrame, met: bool = False) -> DataFrame:
+    """(doc_id, text, length) of the live nodes in the order of tick and name; a text without any has no row.
+
+    met: the runs were made, row by row, of rows that ``together`` gave.
+    """
 
     def join(batches):
         import numpy as np
@@ -106,11 +115,11 @@ def texts(runs: DataFrame) -> DataFrame:
             rows, n = np.unique(text, return_counts=True)
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().take(pa.array(rows)), _strings(codes, n), pa.array(n, pa.int64())], ["doc_id", "text", "length"])
 
-    return _together(runs).mapInArrow(join, f"doc_id {runs.schema['doc_id'].dataType.simpleString()}, text string, length long")
+    return _dealt(runs, met).mapInArrow(join, f"doc_id {runs.schema['doc_id'].dataType.simpleString()}, text string, length long")
 
 
-def nodes(runs: DataFrame) -> DataFrame:
-    """(doc_id, ts, node, ch, removed) of the live nodes."""
+def nodes(runs: DataFrame, met: bool = False) -> DataFrame:
+    """(doc_id, ts, node, ch, removed) of the live nodes; ``met`` as for ``texts``."""
 
     def rows(batches):
         import numpy as np
@@ -124,4 +133,4 @@ def nodes(runs: DataFrame) -> DataFrame:
                 one = codes[cut]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[cut])), pa.array(tick[cut], pa.int64()), kinds.take(pa.array(name[cut])), _strings(one, np.ones(len(one), np.int64)), pa.array(np.zeros(len(one), bool))], ["doc_id", "ts", "node", "ch", "removed"])
 
-    return _together(runs).mapInArrow(rows, f"doc_id {runs.schema['doc_id'].dataType.simpleString()}, ts long, node string, ch string, removed boolean")
+    return _dealt(runs, met).mapInArrow(rows, f"doc_id {runs.schema['doc_id'].dataType.simpleString()}, ts long, node string, ch string, removed boolean")
