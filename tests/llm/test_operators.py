@@ -630,3 +630,42 @@ def test_rows_without_copies_are_not_shuffled_to_find_their_class(spark):
         moved = shuffled_bytes(spark) - before
     assert {(x.doc_id, x.component_id) for x in got.collect()} == {(i, i % 1000) for i in range(1020)}
     assert moved < 1100 * 1020, moved
+
+
+def test_words_hashed_together_are_those_of_each_text():
+    import pyarrow as pa
+    import xxhash
+
+    r = random.Random(4)
+    texts = [None, "", " \n", "a", "a ", "b", "A b\x0bc", "ab", "ab\0", "\0", "\x1c x\x85y", "Ä  ö", "w" * 8, "w" * 9, "w" * 64 + " " + "w" * 65, "x" * 700 + "\t", "", "a  B\r\nc", *("".join(r.choice("aB \né") for _ in range(r.randrange(90))) for _ in range(300))]
+    column = pa.concat_arrays([pa.array(["cut off"]), pa.array(texts, pa.string())]).slice(1)
+    for some, part in ((texts, column), (texts[:3], column.slice(0, 3)), (texts[3:4], column.slice(3, 1)), ([], column.slice(0, 0))):
+        h, places, digests = neardup.hashed_words(part)
+        split = [neardup.words(t) for t in some]
+        assert np.diff(places).tolist() == list(map(len, split)) and places[0] == 0 and places[-1] == len(h)
+        assert digests == [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in split]
+        known = {}
+        assert all(known.setdefault(w, x) == x for w, x in zip((w for ws in split for w in ws), h.tolist(), strict=True)) and len(set(known.values())) == len(known)
+
+
+def test_near_duplicates_count_words_and_keep_columns(spark):
+    t = texts(60)
+    got = neardup.near_duplicates(documents(spark, t, ids=range(2**53 + 1, 2**53 + 61)), also=("source", "size"))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept", "comp", "n_words", "source", "size"]
+    want = [(2**53 + 1 + i, len(neardup.shingles(x, neardup.SHINGLE)), len(neardup.words(x)), ("a", "b", None)[i % 3], "clash") for i, x in enumerate(t)]
+    assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "n_words", "source", "size").collect()) == want
+    assert got.filter("(comp IS NULL) <> (n_words = 0)").count() == 0
+
+
+def test_near_copies_without_ids_share_no_bin(spark, tmp_path):
+    """Clusters are those of rows, not of ids; texts are read once, where they are hashed."""
+    from tidelog.llm import queries
+
+    r = random.Random(6)
+    long = [r.choice(WORDS) + str(i) for i in range(200)]
+    t = [" ".join(long), " ".join([*long[:-1], "other"]), "x y", " ", " ", None, None]
+    documents(spark, t, sources=tuple("abcdefg"), ids=[None, None, 3, None, 5, 6, 7]).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    bins = {x.source: x for x in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    got = queries.op4_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(bins) == len(got) == 7 and sorted(x.n_tokens for x in got) == [0, 0, 0, 0, 2, 200, 200]
+    assert len({x.bin for x in got if x.n_tokens == 200}) == 2

@@ -22,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MIX = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A_COLUMN, _B_COLUMN = _A[:, None].copy(), _B[:, None].copy()
 
 
 def words(text: str | None) -> list[bytes]:
@@ -80,8 +82,8 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 def _shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for i in range(k):
-        out = _mixed(out + h[i : len(out) + i]) * _MIX[i]
-    return out
+        out += h[i : len(out) + i] * _MIX[i]
+    return _mixed(out)
 
 
 #: Words hashed together.
@@ -110,14 +112,67 @@ def shingle_sets(texts, k: int, known: dict):
     yield from _sets(some, k, known)
 
 
+_SPACES = b" \t\n\v\f\r"
+_IS_SPACE = bytes(b in _SPACES for b in range(256))
+_ONE_SPACE = bytes(32 if b in _SPACES else b for b in range(256))
+#: Bytes of a word that are hashed eight at a time, over all words at once; longer words are hashed by themselves.
+WIDE_WORD = 64
+#: The first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _word_hashes(data: bytes, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``data``, by their bytes and sizes."""
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=data + bytes(8), strides=(1,))
+    h = _mixed((eight[begins] & _FIRST[np.minimum(sizes, 8)]) * _MIX[16] + sizes.astype(np.uint64) * _MIX[17])
+    for at in range(8, WIDE_WORD, 8):
+        more = np.flatnonzero(sizes > at)
+        if not len(more):
+            break
+        h[more] = _mixed((h[more] + (eight[begins[more] + at] & _FIRST[np.minimum(sizes[more] - at, 8)])) * _MIX[18])
+    for i in np.flatnonzero(sizes > WIDE_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begins[i] : begins[i] + sizes[i]])
+    return h
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """Hashes of the words of all texts, the place where each text's begin (and the end), and a digest of each text's words,
+    null where there are none. The same words as ``words`` gives, found in the bytes of all texts together."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = bytes(memoryview(texts.buffers()[2] or b"")[at[0] : at[-1]]).lower()
+    at = at - at[0]
+    space = np.frombuffer(data.translate(_IS_SPACE), bool)
+    word = ~space
+    first, last = at[:-1][at[:-1] < at[1:]], at[1:][at[:-1] < at[1:]] - 1
+    # a word ends where its text does
+    begin, end, kept = word.copy(), word.copy(), word.copy()
+    begin[1:] &= space[:-1]
+    begin[first] = word[first]
+    end[:-1] &= space[1:]
+    end[last] = word[last]
+    begins = np.flatnonzero(begin)
+    sizes = np.flatnonzero(end) + 1 - begins
+    places = np.searchsorted(begins, at)
+    # words with one space after each: all digested from one buffer
+    kept[1:] |= word[:-1]
+    kept[first] = word[first]
+    plain = np.frombuffer(data.translate(_ONE_SPACE), np.uint8)[kept].tobytes()
+    spaced = np.zeros(len(texts), np.int64)
+    spaced[at[:-1] < at[1:]] = word[last]
+    cuts = (np.concatenate([[0], np.cumsum(sizes)])[places] + places - np.concatenate([[0], np.cumsum(spaced)])).tolist()
+    digests = [xxhash.xxh3_128_digest(memoryview(plain)[a : b - (not whole)]) if a < b else None for a, b, whole in zip(cuts, cuts[1:], spaced.tolist(), strict=False)]
+    return _word_hashes(data, begins, sizes), places, digests
+
+
 def minima(x: np.ndarray) -> np.ndarray:
     """The least values of the universal hashes a x + b of the upper halves of ``x``."""
     x = (x >> np.uint64(32)).astype(np.uint32)
     out = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(x), 512):
-        y = x[at : at + 512, None] * _A
-        y += _B
-        np.minimum(out, y.min(axis=0), out=out)
+    for at in range(0, len(x), 1024):
+        y = x[at : at + 1024] * _A_COLUMN
+        y += _B_COLUMN
+        np.minimum(out, y.min(axis=1), out=out)
     return out
 
 
@@ -143,21 +198,23 @@ def _pieces(batches):
 
 def _signed(k: int):
     def sign(batches):
-        known = _WordHashes()
         for batch in _pieces(batches):
-            sizes, same, sigs = [], [], []
-            for w, x in shingle_sets((t.as_py() for t in batch.column("text")), k, known):
+            h, places, same = hashed_words(batch.column("text"))
+            windows, cuts = _shingle_hashes(h, k), places.tolist()
+            sizes, sigs = [], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                # windows that begin in one text and end in the next are passed over
+                x = _distinct(windows[a : b - k + 1] if b - a >= k else _shingle_hashes(h[a:b], b - a)) if a < b else h[:0]
                 sizes.append(len(x))
-                same.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
-                if w:
+                if a < b:
                     sigs.append(minima(x))
             sigs = np.array(sigs, np.uint32).reshape(-1, HASHES)
-            rows = iter(zip(sigs, _bands(sigs), strict=True))
-            signed = [next(rows) if n else (None, None) for n in sizes]
-            sigs, bands = [s if s is None else s.tobytes() for s, _ in signed], [b for _, b in signed]
+            rows, bands = iter(sigs), pa.array(_bands(sigs).ravel())
+            some = np.diff(places) > 0
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]) * BANDS, pa.int32(), mask=np.append(~some, False)), bands)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["_row", "_id", "n", "same", "sig", "bands"])
+                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(np.diff(places), pa.int64()), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array([next(rows).tobytes() if n else None for n in sizes], pa.binary()), lists],
+                [*(c for c in batch.schema.names if c != "text"), "words", "n", "same", "sig", "bands"])
 
     return sign
 
@@ -330,18 +387,21 @@ def _open_buckets(members: DataFrame, links: DataFrame, texts: DataFrame, k: int
     return pairs
 
 
-def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, also: tuple[str, ...] | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of ``df``.
 
     component_id is the least id reachable by links; kept marks the rows that carry it.
     row_col names a column of distinct numbers of the rows of ``df``, which must be a written table then; the result has
     it as _row, and comp, a number of the component, null for a row without words.
+    also: columns of ``df`` that the result has as well, with comp and n_words, so that no join need find them again.
     """
     scratch = Scratch(df.sparkSession)
-    rows = df.select(df[id_col].alias("_id"), df[text_col].alias("text"), (df[row_col] if row_col else F.monotonically_increasing_id()).alias("_row"))
+    rows = df.select(df[id_col].alias("_id"), df[text_col].alias("text"), (df[row_col] if row_col else F.monotonically_increasing_id()).alias("_row"), *(df[c].alias(f"_also{i}") for i, c in enumerate(also or ())))
     rows = rows if row_col else scratch.save(rows)
     kind = rows.schema["_id"].dataType.simpleString()
-    signed = scratch.save(rows.select("_row", "_id", "text").mapInArrow(_signed(k), f"_row long, _id {kind}, n long, same binary, sig binary, bands array<long>"))
+    more = [f for f in rows.schema if f.name.startswith("_also")]
+    signed = rows.select("_row", "_id", *(f.name for f in more), "text").mapInArrow(_signed(k), "".join(["_row long, _id ", kind, *(f", {f.name} {f.dataType.simpleString()}" for f in more), ", words long, n long, same binary, sig binary, bands array<long>"]))
+    signed = scratch.save(signed)
     # the least id; where all are null, the first row stands for the class
     least = [F.min("_id").alias("_least"), F.min(F.when(F.col("_id").isNull(), F.col("_row"))).alias("_unnamed")]
     classes = scratch.save(signed.filter("n > 0").groupBy("same").agg(F.min("_row").alias("_class"), F.count("*").alias("c"), *least))
@@ -368,11 +428,12 @@ def near_duplicates(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_
     comps = classes.join(links, F.col("_class") == F.col("u"), "left").select("same", "_least", "_unnamed", F.coalesce("v", "_class").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("_least").alias("_to"), F.min("_unnamed").alias("_to_row"))
     comps = comps.join(least, "comp").select("same", "comp", "_to", F.when(F.col("_to").isNull(), F.col("_to_row")).alias("_to_row"))
-    out = signed.select("_row", "_id", "n", "same").join(comps, "same", "left")
+    out = signed.drop("sig", "bands").join(comps, "same", "left")
     no_words = F.col("comp").isNull()
     out = out.withColumn("_to", F.when(no_words, F.col("_id")).otherwise(F.col("_to")))
     kept = no_words | F.when(F.col("_to").isNull(), F.col("_row") == F.col("_to_row")).otherwise(F.col("_id").eqNullSafe(F.col("_to")))
-    out = out.select(*(["_row", "comp"] if row_col else []), F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_to").alias("component_id"), kept.alias("kept"))
+    beside = [] if also is None else [*([] if row_col else ["comp"]), F.col("words").alias("n_words"), *(F.col(f"_also{i}").alias(c) for i, c in enumerate(also))]
+    out = out.select(*(["_row", "comp"] if row_col else []), F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_to").alias("component_id"), kept.alias("kept"), *beside)
     out = scratch.save(out)
     scratch.keep_only(out)
     return out
